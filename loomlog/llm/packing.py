@@ -150,9 +150,9 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids:
     def pieces(batches):
         enc = encoder(vocabulary)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
-                got, counts = enc.encode(texts[a:b])
+            names = batch.column(0).to_pylist()
+            for a, b, texts in in_slices(batch.column(1)):
+                got, counts = enc.encode(texts)
                 at, rows = 0, {k: [] for k in arrow.names}
                 for name, n in zip(names[a:b], counts.tolist(), strict=True):
                     ids = np.append(got[at : at + n], end)

@@ -12,6 +12,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Spaces that a byte-level pre-tokenizer doesn't join to the next word, those that it does, rarer white
 #: space, and a full stop or comma that is a pre-token of its own (after a letter or digit, before white space).
@@ -41,7 +43,7 @@ class CachedEncoder:
 
     max_words bounds the cache; when it is full it starts anew, which changes the time and not the ids."""
 
-    def __init__(self, path: str, max_words: int = 1_200_000):
+    def __init__(self, path: str, max_words: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -107,13 +109,12 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def in_slices(texts: list[str | None], chars: int = 3_000_000):
-    """(first, last) ranges of texts with about that many characters, so that memory follows the slice and not the batch."""
-    first = size = 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= chars:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def in_slices(column: pa.Array, size: int = 3_000_000):
+    """(first, last, texts) of runs of a string column with about size bytes, so that memory follows the run and not the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = min(len(ends), int(np.searchsorted(ends, done + size)) + 1)
+        yield first, last, column.slice(first, last - first).to_pylist()
+        first = last

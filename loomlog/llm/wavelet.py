@@ -53,9 +53,9 @@ class WaveletMatrix:
             bit = (v & v.dtype.type(1 << (levels - 1 - k))) != 0
             packed = np.packbits(bit, bitorder="little")
             planes[k].view(np.uint8)[: len(packed)] = packed
-            low = v[~bit]
+            low = np.flatnonzero(~bit)
             zeros[k] = len(low)
-            v = np.concatenate([low, v[bit]])
+            v = np.concatenate([v[low], v[np.flatnonzero(bit)]])
         return cls(alphabet, np.asarray(ends, np.int64), zeros, planes, n)
 
     def to_bytes(self) -> bytes:
@@ -156,8 +156,8 @@ class WaveletMatrix:
             bit = self._bits(k)
             z = int(self.zeros[k])
             up = np.empty_like(code)
-            up[~bit] = code[:z]
-            up[bit] = code[z:] | code.dtype.type(1 << (levels - 1 - k))
+            up[np.flatnonzero(~bit)] = code[:z]
+            up[np.flatnonzero(bit)] = code[z:] | code.dtype.type(1 << (levels - 1 - k))
             code = up
         return self.alphabet[code]
 
@@ -181,9 +181,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 1 <
             return out
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
-                got, counts = enc.encode(texts[a:b])
+            names = batch.column(0).to_pylist()
+            for a, b, texts in in_slices(batch.column(1)):
+                got, counts = enc.encode(texts)
                 at = 0
                 for name, n in zip(names[a:b], counts.tolist(), strict=True):
                     ids.append(got[at : at + n])
