@@ -7,6 +7,7 @@ the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` at a fraction of
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -76,6 +77,15 @@ class CachedEncoder:
         return word[0] if isinstance(word, tuple) else word[1:] if word[:1] == _BARE else f" {word}"
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        collecting = gc.isenabled()
+        gc.disable()  # hundreds of thousands of small lists come and go here, none in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > self.max_words:
             self._reset()
         words, ends = [], np.zeros(len(texts) + 1, np.int64)
