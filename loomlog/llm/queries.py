@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, wavelet
+from . import minhash, mixing, packing, wavelet
 from .common import table
 
 #: Names of the public vocabularies and end ids.
@@ -33,5 +33,9 @@ def op3_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary(BYTE_VOCABULARY), end_id=0, capacity=2048)
 
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op2_source_mix": op2_source_mix, "op3_best_fit_pack": op3_best_fit_pack}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_source_mix, op3_best_fit_pack, op9_minhash_near_dedup)}
 ORACLE: dict[str, str] = {}
