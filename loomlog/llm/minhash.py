@@ -6,9 +6,10 @@
 2. In each band bucket every member is compared with the smallest, so a bucket of m documents makes m - 1 pairs. Pairs
    whose packed signatures estimate a similarity near the threshold are confirmed on full sets; links are joined into
    components.
-3. Buckets that still hold more than one component are searched in blocks for pairs across components, best estimate
-   first: some per document, then more, then all. Only pairs that could still join two components are confirmed, so
-   no link that matters is lost and a group of copies isn't expanded into its pairs.
+3. Buckets that still hold more than one component are searched in blocks: each block gives a spanning forest of its
+   pairs across components whose estimate passes. What these forests join is a cluster; a cluster's sets meet in blocks
+   of bounded size, where rows are intersected with all others at once through an inverted index and only links that
+   join components leave. So no link that matters is lost and no group of copies is expanded into its pairs.
 
 Edge cases: null or empty text: an empty set, linked with nothing; fewer words than a shingle: the whole sequence is
 the one shingle; rows with the same doc_id are one node; a null doc_id stays alone (null component, kept); an empty
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged, unstage
+from .common import connected_components, staged
 from .shingles import mix, shingle_hashes
 from .tokens import in_slices
 
@@ -134,51 +135,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "src long, dst long").distinct()
 
 
-def proposals(members: DataFrame, minima: Minima, threshold: float, most: int | None, block: int = 512) -> DataFrame:
-    """members: key, id, comp, sig of buckets with several components. For each document its ``most`` likeliest partners
-    in other components (all if None). Large buckets are cut into blocks by a hash, and each pair of blocks is a group of its own."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
-    cut = members.join(sizes, "key").withColumn("cuts", F.ceil(F.col("m") / block).cast("int")).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+def in_blocks(rows: DataFrame, key: str, cuts, fields: list[str]) -> DataFrame:
+    """rows dealt and sorted by (key, lo, hi): groups of at most ``cuts`` parts, cut by a hash of id; each pair of parts meets once."""
+    cut = rows.withColumn("cuts", cuts.cast("int")).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
-    cut = cut.select("key", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), "cut", "id", "comp", "sig")
-    cut = cut.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def pairs_of(rows: list[tuple]):
-        ids, comp, part = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        sig, same_block = minima.words([r[3] for r in rows]), len(set(part.tolist())) == 1
-        src, dst = [], []
-        for at in range(0, len(ids), 128):
-            s = slice(at, at + 128)
-            est = minima.similarity(sig[s, None, :], sig[None, :, :])
-            ok = (est >= threshold - SLACK) & (comp[s, None] != comp[None, :])
-            if not same_block:
-                ok &= part[s, None] != part[None, :]
-            if most is not None:
-                est[~ok] = -1
-                if est.shape[1] > most:
-                    cutoff = np.partition(est, -most, axis=1)[:, -most]
-                    ok &= est >= cutoff[:, None]
-                    ok &= np.cumsum(ok, axis=1) <= most
-            i, j = np.nonzero(ok)
-            src.append(ids[s][i])
-            dst.append(ids[j])
-        a, b = np.concatenate(src), np.concatenate(dst)
-        got = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["src", "dst"])
-
-    def propose(batches):
-        now, rows = None, []
-        for batch in batches:
-            for key, lo, hi, part, i, c, sig in zip(*(batch.column(k).to_pylist() for k in ("key", "lo", "hi", "cut", "id", "comp", "sig")), strict=True):
-                if (key, lo, hi) != now:
-                    if len(rows) > 1:
-                        yield pairs_of(rows)
-                    now, rows = (key, lo, hi), []
-                rows.append((i, c, part, sig))
-        if len(rows) > 1:
-            yield pairs_of(rows)
+    cut = cut.select(F.col(key).alias("key"), F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), "cut", *fields)
+    return cut.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def by_group(batches, fields: list[str]):
+    """Lists of rows (cut, *fields) with equal (key, lo, hi), from sorted batches."""
+    now, rows = None, []
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in ("key", "lo", "hi", "cut", *fields)]
+        for key, lo, hi, *row in zip(*columns, strict=True):
+            if (key, lo, hi) != now:
+                if len(rows) > 1:
+                    yield rows
+                now, rows = (key, lo, hi), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def across(sig: np.ndarray, comp: np.ndarray, part: np.ndarray, minima: Minima, least: float):
+    """(first row, bool matrix) of runs of rows: pairs in different components, estimated at least ``least``, and of
+    different parts where the group has two."""
+    two = len(np.unique(part)) > 1
+    for at in range(0, len(comp), 64):
+        s = slice(at, at + 64)
+        ok = (minima.similarity(sig[s, None, :], sig[None, :, :]) >= least) & (comp[s, None] != comp[None, :])
+        yield at, ok & (part[s, None] != part[None, :]) if two else ok
+
+
+def forests(members: DataFrame, minima: Minima, threshold: float, block: int = 1024) -> DataFrame:
+    """members: key, id, comp, sig of buckets with several components. A spanning forest of each block's pairs across components."""
+
+    def grow(batches):
+        for rows in by_group(batches, ["id", "comp", "sig"]):
+            part, ids, comp = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+            label, seen = np.arange(len(ids)), np.zeros(len(ids), bool)
+            for at, ok in across(minima.words([r[3] for r in rows]), comp, part, minima, threshold - SLACK):
+                for i in np.flatnonzero(ok.any(axis=1)):
+                    near = np.append(np.flatnonzero(ok[i]), at + i)
+                    seen[near] = True
+                    found = np.unique(label[near])
+                    if len(found) > 1:
+                        label[np.isin(label, found)] = found[0]
+            leaf = np.flatnonzero(seen & (label != np.arange(len(ids))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[leaf]]), pa.array(ids[leaf])], names=["src", "dst"])
 
-    return cut.mapInArrow(propose, "src long, dst long").distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
+    dealt = in_blocks(members.join(sizes, "key"), "key", F.ceil(F.col("m") / block), ["id", "comp", "sig"])
+    return dealt.mapInArrow(grow, "src long, dst long").distinct()
+
+
+def cluster_links(nodes: DataFrame, minima: Minima, threshold: float, percent: int, block: int = 512, block_bytes: int = 16 << 20) -> DataFrame:
+    """nodes: cluster, id, comp, sig, hashes. Links on full sets that join components, at most one less than the rows of a block."""
+
+    def link(batches):
+        for rows in by_group(batches, ["id", "comp", "sig", "hashes"]):
+            part, ids, comp = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+            sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+            size = np.array([len(x) for x in sets])
+            ends = np.cumsum(size)
+            owner = np.repeat(np.arange(len(sets)), size)
+            code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            posting, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+            src, dst = [], []
+            for at, ok in across(minima.words([r[3] for r in rows]), comp, part, minima, threshold - SLACK):
+                for i in np.flatnonzero(ok.any(axis=1)):
+                    me = at + int(i)
+                    if not (ok[i] & (comp != comp[me])).any():
+                        continue
+                    both = np.zeros(len(sets), np.int64)
+                    own = code[ends[me] - size[me] : ends[me]]
+                    for k in range(0, len(own), 2048):
+                        a, b = first[own[k : k + 2048]], first[own[k : k + 2048] + 1]
+                        where = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
+                        both += np.bincount(posting[where], minlength=len(sets))
+                    hit = ok[i] & (100 * both >= percent * (size[me] + size - both))
+                    for j in np.flatnonzero(hit):
+                        if comp[j] != comp[me]:
+                            src.append(ids[me])
+                            dst.append(ids[j])
+                            comp[comp == comp[j]] = comp[me]
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.length("hashes")).alias("held"))
+    cuts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("held") / block_bytes))
+    dealt = in_blocks(nodes.join(sizes, "cluster"), "cluster", cuts, ["id", "comp", "sig", "hashes"])
+    return dealt.mapInArrow(link, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, minima: Minima | None = None) -> DataFrame:
@@ -203,19 +251,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, minima:
     same = twins.join(nodes.select(F.col("id").alias("doc_id")).unionByName(twins.groupBy("doc_id").count().where("count > 1").select("doc_id")).distinct(), "doc_id")
     links = staged(links.unionByName(same.select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))).distinct(), "links")
     comps = connected_components(links)
-    for most in (4, 64, None):
-        placed = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        found = staged(proposals(placed.join(mixed, "key").join(sigs, "id"), minima, threshold, most), "proposed")
-        new = staged(found.join(tested, ["src", "dst"], "left_anti"), "new")
-        any_found, any_new = not found.isEmpty(), not new.isEmpty()
-        unstage(found)
-        if not any_found:
-            break
-        if any_new:
-            more = staged(links.unionByName(confirmed(new, sets, percent)), "links")
-            tested = staged(tested.unionByName(new), "tested")
-            comps = connected_components(links := more)
+    placed = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    trees = staged(forests(placed.join(mixed, "key").join(sigs, "id"), minima, threshold), "trees")
+    if not trees.isEmpty():
+        clusters = connected_components(trees).select("id", F.col("component").alias("cluster"))
+        own_comp = clusters.join(comps, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("comp"))
+        more = cluster_links(own_comp.join(sigs, "id").join(sets.dropDuplicates(["id"]), "id"), minima, threshold, percent)
+        comps = connected_components(staged(links.unionByName(more), "links"))
     by_class = reps.select("digest", F.col("doc_id").alias("id")).join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
