@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, wavelet
+from . import html, minhash, mixing, packing, secrets, toxicity, urlfilter, vectors, wavelet
 from .common import table
 
 #: Names of the public vocabularies and end ids.
-WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_VOCABULARY, BYTE_VOCABULARY, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def vocabulary(name: str) -> str:
@@ -33,9 +33,46 @@ def op3_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary(BYTE_VOCABULARY), end_id=0, capacity=2048)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_source_mix, op3_best_fit_pack, op9_minhash_near_dedup)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_source_mix, op3_best_fit_pack, op4_toxicity, op5_url_filter, op6_secret_scan, op7_html_text, op8_vector_near_dedup, op9_minhash_near_dedup)}
+ORACLE: dict[str, str] = {
+    "op5_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), split AS (
+            SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+        ), rules(h, p, v) AS (
+            VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+        ), fit AS (
+            SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC, length(h) DESC) AS k
+            FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        )
+        SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.v, 'allow') AS verdict FROM split s LEFT JOIN fit f ON s.page_id = f.page_id AND f.k = 1
+    """,
+}
