@@ -18,6 +18,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import importable
 from .tokens import in_slices
 
 #: HTML's elements by how they lay out, and names of what isn't main text.
@@ -155,4 +156,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(x) for x in pages_html]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(a, b - a), batch.column("url").slice(a, b - a), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    importable(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, minhash, mixing, packing, secrets, toxicity, urlfilter, vectors, wavelet
+from . import html, minhash, mixing, packing, secrets, sketches, toxicity, urlfilter, vectors, wavelet
 from .common import table
 
 #: Names of the public vocabularies and end ids.
@@ -59,7 +59,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_source_mix, op3_best_fit_pack, op4_toxicity, op5_url_filter, op6_secret_scan, op7_html_text, op8_vector_near_dedup, op9_minhash_near_dedup)}
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_source_mix, op3_best_fit_pack, op4_toxicity, op5_url_filter, op6_secret_scan, op7_html_text, op8_vector_near_dedup, op9_minhash_near_dedup, op10_document_fingerprints)}
 ORACLE: dict[str, str] = {
     "op5_url_filter": r"""
         WITH parts AS (

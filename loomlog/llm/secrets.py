@@ -17,6 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import importable
 from .tokens import in_slices
 
 #: Kinds in their listed order, and their patterns.
@@ -74,6 +75,7 @@ def scan(docs: DataFrame, vocabulary: str, ratio: float = 2.4) -> DataFrame:
                 digest = [hashlib.sha256(joined([y for y in x if y[1] < 3]).encode()).hexdigest() for x in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([joined(x) for x in spans], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
+    importable(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
@@ -97,4 +99,5 @@ def redacted(docs: DataFrame, vocabulary: str, ratio: float = 2.4, mark: str = "
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else part.column(k) for k in range(part.num_columns)], names=names)
 
+    importable(docs.sparkSession)
     return docs.mapInArrow(hide, docs.schema)

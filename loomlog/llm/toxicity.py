@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import importable
 from .tokens import in_slices
 
 #: Insults that vote toxic.
@@ -30,6 +31,7 @@ LEXICON = (
 )
 _WORD = re.compile(r"[^\W_]+")
 _LENGTHS = range(4, 9)
+RIDGE = 0.2
 
 
 def words_of(text: str | None) -> set[str]:
@@ -39,7 +41,7 @@ def words_of(text: str | None) -> set[str]:
 class Model:
     """Voters by word and word beginning, and the linear classifier's weights."""
 
-    def __init__(self, docs: list[tuple[set[str], int]], most: int = 300, least: int = 8, ratio: float = 15.0):
+    def __init__(self, docs: list[tuple[set[str], int]], most: int = 600, least: int = 5, ratio: float = 10.0):
         once = list({frozenset(w): (w, y) for w, y in docs}.values())
         seen = [Counter(), Counter()]
         n = [0, 0]
@@ -53,6 +55,8 @@ class Model:
         self.cache: dict[str, tuple[int, ...]] = {}
         x = np.array([self.counts(w) for w, _ in once], np.float64).reshape(len(once), len(self.voters))
         y = np.array([y for _, y in once], np.float64)
+        fired = [((x[y == k] > 0).sum(0) + (0.5, 2.0)[k] * (0.1, 1.0)[k]) / (max(1, (y == k).sum()) + 1) for k in (0, 1)] if len(y) else None
+        self.lift = np.log(np.maximum(1.0, fired[1] / fired[0])) if fired else np.ones(len(self.voters))
         self._fit(x, y)
 
     @staticmethod
@@ -92,16 +96,18 @@ class Model:
         return post
 
     def _columns(self, x: np.ndarray) -> np.ndarray:
-        x = np.log1p(x)
-        return np.hstack([np.ones((len(x), 1)), x, x.sum(1, keepdims=True), (x > 0).any(1, keepdims=True)])
+        lift = np.where(x > 0, self.lift, 0)
+        total = np.log1p((x * self.lift).sum(1, keepdims=True))
+        return np.hstack([np.ones((len(x), 1)), np.log1p(x), total, lift.max(1, initial=0)[:, None], (x > 0).any(1, keepdims=True)])
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
         m = len(self.voters)
         if len(y) == 0 or y.min() == y.max():
-            self.weights = np.concatenate([[-4.0], np.full(m, 4.0), [0, 4.0]])
+            self.lift = np.ones(m)
+            self.weights = np.concatenate([[-4.0], np.full(m, 4.0), [0, 0, 4.0]])
             return
         target, z = self._posterior((x > 0).astype(float), y), self._columns(x)
-        w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], 1.0)
+        w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], RIDGE)
         ridge[0] = 1e-3
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -132,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
             for a, b, texts in in_slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(["\n".join(sorted(words_of(t))) for t in texts], pa.string()), batch.column("_y").slice(a, b - a)], names=["doc_id", "words", "y"])
 
+    importable(docs.sparkSession)
     got = rows.select("doc_id", "text", "_y").mapInArrow(words, "doc_id long, words string, y int")
     sample = sorted((r["doc_id"], r["words"], r["y"]) for r in got.toLocalIterator())
     return Model([(set(w.split("\n")) - {""}, y) for _, w, y in sample])
@@ -148,6 +155,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = shared.value.scores(np.array([shared.value.counts(words_of(t)) for t in texts]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s)], names=["doc_id", "score"])
 
+    importable(docs.sparkSession)
     out = docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -163,4 +171,5 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 s = shared.value.scores(np.array([shared.value.counts(words_of(t)) for t in texts]))
                 yield batch.slice(a, b - a).filter(pa.array(s < 0.5))
 
+    importable(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
