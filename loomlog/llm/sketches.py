@@ -3,9 +3,9 @@
 A text's paragraphs are its lines, cut at spaces into pieces of at most 99 code points; a piece's digest is a 64-bit
 hash, and a text is the set of its digests. A sketch has 24 cells in three tables; each digest enters one cell of each
 (count, xor of digests, xor of their hashes). Two sketches are subtracted cell by cell; cells that hold one digest are
-peeled until all are empty, which gives the digests that only one version has. Where 24 cells fail, larger sketches are
-built of the versions: digests are dealt to enough parts of 24 cells each, four times as many in each retry; pieces
-that even three retries leave are compared directly.
+peeled until all are empty, which gives the digests that only one version has. Where 24 cells can't do or
+fail, larger sketches are built of the versions: digests are dealt to enough parts of 24 cells each, and parts that
+don't peel are dealt to four times as many in each retry; digests that even three retries leave are compared directly.
 
 The documents are dealt by ranges of doc_id, so that a document's successor is in its own group or heads the next.
 
@@ -44,21 +44,18 @@ def subtract(a: str, b: str) -> Column:
     return F.expr(f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c, 'n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))")
 
 
-def peel(cells: str, steps: int = 24) -> Column:
-    """(cells, added, removed) after peeling; it has worked if every cell is empty."""
+def peel(cells: str, steps: int = 20) -> Column:
+    """(ok, added, removed) after peeling an array of cells: it has worked (ok) if no cell is left."""
     hit = " or ".join(f"x.c = {c.format(k='q.k')}" for c in _CELLS)
     return F.expr(
-        f"""aggregate(sequence(1, {steps}), named_struct('cells', {cells}, 'added', cast(array() as array<bigint>), 'removed', cast(array() as array<bigint>)),
+        f"""aggregate(sequence(1, {steps}), named_struct('cells', filter({cells}, x -> x.n <> 0 or x.k <> 0), 'added', cast(array() as array<bigint>), 'removed', cast(array() as array<bigint>)),
             (s, i) -> coalesce(get(transform(slice(filter(s.cells, x -> abs(x.n) = 1 and x.h = xxhash64(x.k)), 1, 1), q -> named_struct(
-                'cells', transform(s.cells, x -> if({hit}, named_struct('c', x.c, 'n', x.n - q.n, 'k', x.k ^ q.k, 'h', x.h ^ q.h), x)),
-                'added', if(q.n = 1, concat(s.added, array(q.k)), s.added), 'removed', if(q.n = 1, s.removed, concat(s.removed, array(q.k))))), 0), s))"""
+                'cells', filter(transform(s.cells, x -> if({hit}, named_struct('c', x.c, 'n', x.n - q.n, 'k', x.k ^ q.k, 'h', x.h ^ q.h), x)), x -> x.n <> 0 or x.k <> 0),
+                'added', if(q.n = 1, concat(s.added, array(q.k)), s.added), 'removed', if(q.n = 1, s.removed, concat(s.removed, array(q.k))))), 0), s),
+            s -> named_struct('ok', size(s.cells) = 0, 'added', s.added, 'removed', s.removed))"""
     )
 
 
-def emptied(peeled: str) -> str:
-    return f"forall({peeled}.cells, x -> x.n = 0 and x.k = 0)"
-
-
 def with_next(docs: DataFrame, group_rows: int = 2000) -> DataFrame:
     """doc_id, text and the next document's text in descending doc_id, the last's being the first's; column g has the groups."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -95,27 +92,42 @@ def edited(docs: DataFrame) -> DataFrame:
     )
 
 
-def differences(pairs: DataFrame, a: str, b: str, retries: int = 3) -> DataFrame:
-    """row, d: how many digests only one of arrays a and b holds, by subtracting and peeling sketches, larger on failure."""
-    first = pairs.select("row", a, b, subtract(f"sketch_{a}", f"sketch_{b}").alias("cells")).select("row", a, b, peel("cells").alias("p"))
-    first = staged(first.select("row", F.expr(emptied("p")).alias("ok"), F.expr("size(p.added) + size(p.removed)").alias("d"), F.expr(f"if({emptied('p')}, null, {a})").alias("a"), F.expr(f"if({emptied('p')}, null, {b})").alias("b")), "peeled")
-    done, left = [first.where("ok").select("row", "d")], first.where("not ok").select("row", "a", "b")
+def _part(keys: str, parts: str) -> str:
+    return f"pmod(xxhash64({keys}, 17), {parts})"
+
+
+def larger(left: DataFrame, per_part: float) -> DataFrame:
+    """One larger sketch of each pair of versions: left has row, tag, a, b; returns row, tag, d, a, b with d digests
+    recovered and a, b the digests of parts that didn't peel. The only shuffle deals left by row."""
+    dealt = left.withColumn("parts", F.expr(f"greatest(1L, bigint(pow(2, ceil(log2((size(a) + size(b)) / {per_part}D)))))")).repartition("row")
+    items = F.expr("concat(transform(a, x -> named_struct('k', x, 'n', 1L)), transform(b, x -> named_struct('k', x, 'n', -1L)))")
+    keys = dealt.select("row", "tag", "parts", F.explode(items).alias("i")).select("row", "tag", F.expr(_part("i.k", "parts")).alias("part"), "i.k", "i.n")
+    cells = keys.select("row", "tag", "part", "k", "n", F.explode(F.expr(f"array({', '.join(c.format(k='k') for c in _CELLS)})")).alias("c"))
+    cells = cells.groupBy("row", "tag", "part", "c").agg(F.sum("n").alias("n"), F.expr("bit_xor(k)").alias("k"), F.expr("bit_xor(xxhash64(k))").alias("h")).where("n <> 0 or k <> 0")
+    peeled = cells.groupBy("row", "tag", "part").agg(F.collect_list(F.struct("c", "n", "k", "h")).alias("cells")).select("row", "tag", "part", peel("cells").alias("p"))
+    got = peeled.groupBy("row", "tag").agg(F.sum(F.expr("if(p.ok, size(p.added) + size(p.removed), 0)")).alias("d"), F.collect_list(F.expr("if(p.ok, null, part)")).alias("failed"))
+    out = dealt.join(got, ["row", "tag"], "left")  # no cell at all: the sets are equal
+    rest = lambda x: F.expr(f"if(size(failed) > 0, filter({x}, k -> array_contains(failed, {_part('k', 'parts')})), array())").alias(x)
+    return out.select("row", "tag", F.coalesce("d", F.lit(0)).cast("long").alias("d"), rest("a"), rest("b"))
+
+
+def differences(base: DataFrame, retries: int = 3, small: int = 20) -> DataFrame:
+    """row, tag, d: how many digests only one of base's arrays a and e (tag 0) or a and x (tag 1) holds.
+
+    Pairs of at most ``small`` digests are peeled from their published sketches; other pairs can't be, and start with a
+    larger one. What fails is retried larger, failed parts only; what three retries leave is compared directly."""
+    first = None
+    for tag, b in enumerate(("e", "x")):
+        cells = F.when(F.expr(f"size(a) + size({b}) <= {small}"), subtract("sketch_a", f"sketch_{b}"))
+        part = base.select("row", F.lit(tag).alias("tag"), "a", F.col(b).alias("b"), cells.alias("cells")).withColumn("p", F.when(F.col("cells").isNotNull(), peel("cells")))
+        part = part.select("row", "tag", F.expr("if(p.ok, bigint(size(p.added) + size(p.removed)), null)").alias("d"), "a", "b")
+        first = part if first is None else first.unionByName(part)
+    done, left = [first.where("d is not null").select("row", "tag", "d")], first.where("d is null").select("row", "tag", "a", "b")
     for k in range(retries):
-        parts = F.expr(f"greatest(1L, bigint(pow(2, ceil(log2((size(a) + size(b)) / {8.0 / 4**k})))))")
-        items = F.expr("concat(transform(a, x -> named_struct('k', x, 'n', 1L)), transform(b, x -> named_struct('k', x, 'n', -1L)))")
-        keys = left.withColumn("parts", parts).repartition("row").select("row", "parts", F.explode(items).alias("i"))
-        keys = keys.select("row", F.expr("pmod(xxhash64(i.k, 17), parts)").alias("part"), "i.k", "i.n")
-        cells = keys.select("row", "part", "k", "n", F.explode(F.expr(f"array({', '.join(c.format(k='k') for c in _CELLS)})")).alias("c"))
-        cells = cells.groupBy("row", "part", "c").agg(F.sum("n").alias("n"), F.expr("bit_xor(k)").alias("k"), F.expr("bit_xor(xxhash64(k))").alias("h"))
-        tables = cells.where("n <> 0 or k <> 0").groupBy("row", "part").agg(F.collect_list(F.struct("c", "n", "k", "h")).alias("cells"))
-        got = tables.select("row", peel("cells").alias("p")).groupBy("row").agg(F.expr(f"bool_and({emptied('p')})").alias("ok"), F.sum(F.expr("size(p.added) + size(p.removed)")).alias("d"))
-        # the sketch of equal sets has no cell left: it peels to nothing
-        got = staged(left.select("row").join(got, "row", "left").select("row", F.coalesce("ok", F.lit(True)).alias("ok"), F.coalesce("d", F.lit(0)).alias("d")), "peeled")
-        done.append(got.where("ok").select("row", F.col("d").cast("int")))
-        left = staged(left.join(got.where("not ok").select("row"), "row", "left_semi"), "unpeeled")
-        if left.isEmpty():
-            break
-    done.append(left.select("row", F.expr("size(array_except(a, b)) + size(array_except(b, a))").alias("d")))
+        got = staged(larger(left, 8.0 / 4**k), "peeled")
+        done.append(got.select("row", "tag", "d"))
+        left = got.where("size(a) + size(b) > 0").select("row", "tag", "a", "b")
+    done.append(left.select("row", "tag", F.expr("bigint(size(array_except(a, b)) + size(array_except(b, a)))").alias("d")))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -131,13 +143,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = edited(docs).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("a"), digests("edited").alias("e"), digests("next").alias("x"))
     base = staged(base.withColumn("row", F.monotonically_increasing_id()), "digests")
     sketched = base.select("*", sketch("a").alias("sketch_a"), sketch("e").alias("sketch_e"), sketch("x").alias("sketch_x"))
-    near = []
-    for other in ("e", "x"):
-        near.append(differences(sketched.select("row", "a", other, "sketch_a", f"sketch_{other}"), "a", other).withColumnRenamed("d", f"d_{other}"))
-    text = base.select("row", "doc_id", "n_chars", "edited_sha256", sketch("a").alias("sa"), sketch("e").alias("se"), F.size("a").alias("na"), F.size("e").alias("ne"), F.size("x").alias("nx"))
-    out = text.join(near[0], "row").join(near[1], "row")
+    near = differences(sketched).groupBy("row").agg(F.sum(F.expr("if(tag = 0, d, 0)")).alias("d_e"), F.sum(F.expr("if(tag = 1, d, 0)")).alias("d_x"))
+    both = base.select("row", "doc_id", "n_chars", "edited_sha256", "a", "e", F.size("x").alias("nx")).join(near, "row")
+    out = both.select("doc_id", "n_chars", "edited_sha256", sketch("a").alias("sa"), sketch("e").alias("se"), F.size("a").alias("na"), F.size("e").alias("ne"), "nx", "d_e", "d_x")
+    out = out.select("*", serialised("sa").alias("fingerprint"), serialised("se").alias("edited_fingerprint"))
 
     def like(n: str, d: str) -> Column:
         return F.expr(f"if(na + {n} = 0, 1.0D, 1.0D - double({d}) / (na + {n}))")
 
-    return out.select("doc_id", "n_chars", "edited_sha256", serialised("sa").alias("fingerprint"), serialised("se").alias("edited_fingerprint"), like("ne", "d_e").alias("near_edited"), like("nx", "d_x").alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("ne", "d_e").alias("near_edited"), like("nx", "d_x").alias("near_next"))
