@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("minhash_near_dedup", drop_near_duplicates), ("secret_scans", hide_secrets), ("source_mix", mix_sources), ("best_fit_pack", pack)]
-#: Toxicity scores, tokenizers and packing can't be said in SQL; tests compare with a brute-force version.
+#: Toxicity scores, tokenizers and packing can't be said in SQL.
 ORACLE_SQL = None
 
 
