@@ -79,4 +79,50 @@ ORACLE: dict[str, str] = {
         )
         SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.v, 'allow') AS verdict FROM split s LEFT JOIN fit f ON s.page_id = f.page_id AND f.k = 1
     """,
+    "op8_vector_near_dedup": r"""
+        WITH RECURSIVE rows AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+        ), usable AS (
+            SELECT vec_id, v FROM rows WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reach AS (
+            SELECT vec_id AS id, vec_id AS other FROM usable
+            UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a
+        ), comp AS (
+            SELECT id, min(other) AS c FROM reach GROUP BY id
+        ), degree AS (
+            SELECT a, count(*) AS n FROM links GROUP BY a
+        )
+        SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN comp c ON e.vec_id = c.id LEFT JOIN degree d ON e.vec_id = d.a
+    """,
+    "op9_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS MATERIALIZED (
+            SELECT doc_id, s, len(s) AS n FROM (
+                SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) END AS s FROM words)
+        ), items AS (
+            SELECT doc_id, n, unnest(s) AS shingle FROM sets
+        ), rare AS (
+            SELECT doc_id, n, shingle, row_number() OVER (PARTITION BY doc_id ORDER BY f, shingle) AS k
+            FROM (SELECT *, count(*) OVER (PARTITION BY shingle) AS f FROM items)
+        ), heads AS MATERIALIZED (
+            SELECT doc_id, n, shingle FROM rare WHERE k <= n - (80 * n + 99) // 100 + 1
+        ), likely AS (
+            SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM heads a JOIN heads b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+            WHERE 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+        ), near AS MATERIALIZED (
+            SELECT a, b FROM likely JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 180 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n)
+        ), links AS (
+            SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+        ), reach AS (
+            SELECT doc_id AS id, doc_id AS other FROM documents
+            UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a
+        ), comp AS (
+            SELECT id, min(other) AS c FROM reach GROUP BY id
+        )
+        SELECT s.doc_id, s.n AS n_shingles, c.c AS component_id, s.doc_id = c.c AS kept FROM sets s JOIN comp c ON s.doc_id = c.id
+    """,
 }
