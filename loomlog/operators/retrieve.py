@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decay_factor, normalised, quality_score, strip
+from ..session import importable
 
 MIN_CHARS, MIN_QUALITY, MOST, NEAR = 30, 0.30, 200, 0.70
 
@@ -29,24 +31,51 @@ def exact_dedup(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_key", normalised(F.col("text"))).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_key", "_r")
 
 
+def is_near(m: SequenceMatcher, ratio: float) -> bool:
+    """m.ratio() > ratio, read only until the blocks found decide it: what is found and the most that the open regions can add bound the ratio."""
+    whole = len(m.a) + len(m.b)
+    if not (m.real_quick_ratio() > ratio and m.quick_ratio() > ratio):
+        return False
+    found, open_ = 0, [(-min(len(m.a), len(m.b)), 0, len(m.a), 0, len(m.b))]
+    most = -open_[0][0]
+    while open_ and 2.0 * (found + most) / whole > ratio:
+        if 2.0 * found / whole > ratio:
+            return True
+        bound, alo, ahi, blo, bhi = heapq.heappop(open_)
+        most += bound
+        i, j, k = m.find_longest_match(alo, ahi, blo, bhi)
+        if k:
+            found += k
+            for x in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                n = min(x[1] - x[0], x[3] - x[2])
+                if n:
+                    heapq.heappush(open_, (-n, *x))
+                    most += n
+    return 2.0 * found / whole > ratio
+
+
 def near_pairs(rows: DataFrame, ratio: float = NEAR) -> DataFrame:
     """(i, j), i < j, of at most ``MOST`` retrieved rows (ord, text) whose sequence ratio is over ``ratio``; pairs that their lengths rule out aren't compared."""
+    m = SequenceMatcher(None)
 
     @F.udf("boolean")
     def near(a: str, b: str) -> bool:
-        m = SequenceMatcher(None, a, b)
-        return m.real_quick_ratio() > ratio and m.quick_ratio() > ratio and m.ratio() > ratio
+        m.set_seq1(a)
+        if m.b != b:
+            m.set_seq2(b)
+        return is_near(m, ratio)
 
+    importable(rows.sparkSession)
     a, b = rows.select(F.col("ord").alias("i"), F.col("text").alias("ta")), rows.select(F.col("ord").alias("j"), F.col("text").alias("tb"))
     bound = 2 * F.least(F.length("ta"), F.length("tb")) > ratio * (F.length("ta") + F.length("tb"))
-    pairs = a.join(b, (F.col("i") < F.col("j")) & bound).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    pairs = a.join(b, (F.col("i") < F.col("j")) & bound).repartition(rows.sparkSession.sparkContext.defaultParallelism, "j").sortWithinPartitions("j")
     return pairs.where(near("ta", "tb")).select("i", "j")
 
 
 def near_dedup(chunks: DataFrame, ratio: float = NEAR) -> DataFrame:
     """Exact, then near duplicates removed from a retrieved set (at most ``MOST`` rows), which keeps its order by (ts_end, chunk_id)."""
     w = Window.orderBy("ts_end", "chunk_id")
-    rows = exact_dedup(chunks).withColumn("ord", F.row_number().over(w))
+    rows = exact_dedup(chunks).withColumn("ord", F.row_number().over(w)).persist()  # else the set is retrieved anew for each use
     meta = {r["ord"]: (r["quality_score"], r["ts_end"]) for r in rows.select("ord", "quality_score", "ts_end").collect()}
     flagged: dict[int, list[int]] = {}
     for r in near_pairs(rows, ratio).collect():

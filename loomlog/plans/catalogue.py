@@ -102,7 +102,7 @@ def recency_topk(spark, d):
 
 @query()
 def near_dedup_topn(spark, d):
-    return retrieve.near_dedup(retrieve.recent(_chunks(spark, d).where(F.length("text") <= 2048), 14.0, NOW)).select("chunk_id", "ts_end")
+    return retrieve.near_dedup(retrieve.recent(_chunks(spark, d), 14.0, NOW)).select("chunk_id", "ts_end")
 
 
 TURNS = "(SELECT conv_id, turn_number, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) || chr(10) ORDER BY turn) AS full_text, count(*) AS n FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn_number FROM conversations WHERE role IN ('user', 'assistant')) WHERE turn_number > 0 GROUP BY ALL)"
