@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import budget_tokens
+from ..functions.text import budget_tokens, strip
 from ..operators.sessions import lookup
 
 SECTIONS = ("project_state", "decisions", "active_tasks", "plans", "recent_context")
@@ -67,6 +67,34 @@ def sample_for_state(chunks: list[tuple[float, float, str]], budget: int = 8000)
     return "\n\n".join(chunks[i][2] for i in sorted(taken, key=lambda i: chunks[i][1]))
 
 
+def sample_of_all(chunks: DataFrame, budget: int = 8000, least: float = 0.3, batch: int = 100) -> str:
+    """``sample_for_state`` over all chunks (chunk_id, text, ts_end, quality_score) that aren't blank and are good enough. Candidates come in
+    order of quality, a batch of those that still fit at a time, until none does; texts longer than the budget stay where they are, but for the anchors."""
+    rows = chunks.select(F.col("quality_score").alias("q"), F.col("ts_end").alias("ts"), strip(F.col("text")).alias("text"), "chunk_id").withColumn("n", F.length("text")).where("n > 0")
+    good = F.col("q") >= least
+    row = F.struct("q", "ts", "text")
+    all_ = rows.where(good).agg(F.count("*").alias("rows"), F.sum("n").alias("chars"), F.min_by(row, F.struct("ts", "chunk_id")).alias("first"), F.min_by(row, F.struct(-F.col("ts"), F.col("chunk_id"))).alias("last"), (F.min("ts") == F.max("ts")).alias("one")).first()
+    if not all_["rows"]:
+        return ""
+    if all_["chars"] + 2 * (all_["rows"] - 1) <= budget:
+        return "\n\n".join(r["text"] for r in rows.where(good).select("ts", "chunk_id", "text").orderBy("ts", "chunk_id").collect())
+    chosen = [tuple(all_["first"])] + ([] if all_["one"] else [tuple(all_["last"])])
+    anchors, passed, left = list(chosen), [], budget - sum(len(t) + 2 for *_, t in chosen)
+    while left > 0:
+        # what was passed over for its length is too long for good; of the rest the passed ones come first; lengths are tested before the costlier quality
+        some = rows.where((F.col("n") <= left) & good).orderBy(F.desc("q"), "ts", "text").offset(sum(n <= left for n in passed)).limit(batch).select("q", "ts", "text").collect()
+        for r in map(tuple, some):
+            passed.append(len(r[2]))
+            if r in anchors:
+                anchors.remove(r)
+            elif len(r[2]) <= left:
+                chosen.append(r)
+                left -= len(r[2]) + 2
+        if len(some) < batch:
+            break
+    return "\n\n".join(t for *_, t in sorted(chosen, key=lambda r: r[1]))
+
+
 def apply_sections(sections: dict[str, list[str]], budget: int, shares: dict[str, float], protected=("INSTRUCTIONS", "CONSTRAINTS", "PROJECT_STATE")) -> dict[str, list[str]]:
     """Each unprotected section cut to whole leading elements within its share of what the protected leave; unused shares stay unused."""
     tokens = lambda parts: int(len("\n".join(parts)) / 4 * 1.1)

@@ -303,8 +303,7 @@ def budget_greedy(spark, d):
 
 @query()
 def state_sample(spark, d):
-    top = retrieve.recent(_chunks(spark, d), most=50)
-    text = budget.sample_for_state([(r["quality_score"], r["ts_end"], r["text"]) for r in top.select("quality_score", "ts_end", "text").collect()])  # at most 50 rows
+    text = budget.sample_of_all(_chunks(spark, d))
     return spark.createDataFrame([(text,)], "state string")
 
 

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from loomlog.operators import retrieve
-from loomlog.plans import catalogue
+from loomlog.plans import budget, catalogue
 
 
 def written(spark, tmp_path, texts):
@@ -61,3 +61,16 @@ def test_early_end_decides_as_the_ratio(ratio):
         b = edited(rng, a, rng.randint(0, 60)) if rng.random() < 0.7 else words(rng, rng.randint(0, 120))
         m = SequenceMatcher(None, a, b)
         assert retrieve.is_near(m, ratio) == (m.ratio() > ratio)
+
+
+def test_state_sample_of_all_documents(spark, tmp_path):
+    rng = random.Random(7)
+    texts = ["oldest? ..... " * 4 + "ends", *(words(rng, rng.randint(60, 200)) for _ in range(70)), *(words(rng, 3) + " ." * rng.randint(1, 9) for _ in range(40)), " \n ", "!!!", " newest.. .. .. "]
+    chunks = [(quality(t), catalogue.NOW - k * 3600 + 90, t.strip()) for k, t in enumerate(texts) if t.strip() and quality(t) >= 0.3]
+    want = budget.sample_for_state(chunks)
+    assert "newest" in want and "oldest" in want and any(len(t) < 30 for t in want.split("\n\n"))
+    d = written(spark, tmp_path, texts)
+    assert catalogue.state_sample(spark, d).first().state == want
+    for batch in (1, 3):
+        assert budget.sample_of_all(catalogue._chunks(spark, d), 400, batch=batch) == budget.sample_for_state(chunks, 400)
+    assert budget.sample_of_all(catalogue._chunks(spark, d), 10**6) == budget.sample_for_state(chunks, 10**6)
