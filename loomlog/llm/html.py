@@ -3,7 +3,8 @@
 A page is read once into blocks (runs of text between block tags) with their root-to-leaf tag paths. Text length,
 punctuation and link text are summed per path, smoothed over neighbouring blocks, fused into one value and thresholded
 per page; elements that by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments don't count. Where a page marks its article (article or main), the paths below it are fused with it.
+reader comments don't count. Being in an article or main
+raises a path's value.
 
 Edge cases: null or empty html: empty text; unclosed and stray tags are taken as browsers do, closely; text without any
 tag is one block; character references are decoded once, after parsing; repeated rows are read each; extra columns are ignored.
@@ -37,6 +38,7 @@ _NAMES = frozenset(
 _CLOSES_P = _BLOCK - {"body", "html", "head"}
 _TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|<[!?][^>]*>")
 _NAMED = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…、。，！？]")
@@ -129,8 +131,6 @@ def main_text(page: str | None, least: float = 0.08) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    if any(inside for *_, inside in blocks):
-        blocks = [b for b in blocks if b[3]]
     length, marks, linked = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, links, _ in blocks:
         length[path] += len(text)
@@ -138,11 +138,13 @@ def main_text(page: str | None, least: float = 0.08) -> str:
         linked[path] += links
     whole = max(length.values())
     value = {p: length[p] / whole * (1 - min(1.0, linked[p] / length[p])) + min(1.0, 20 * marks[p] / length[p]) * length[p] / whole for p in length}
+    value = {p: v * (1.5 if "article" in p or "main" in p else 1.0) for p, v in value.items()}
     chosen = []
     for k, (path, text, links, inside) in enumerate(blocks):
         near = [value[blocks[j][0]] for j in range(max(0, k - 1), min(len(blocks), k + 2))]
-        fused = max(value[path], sum(near) / len(near)) + (1.0 if inside else 0.0)
-        if fused >= least and (inside or links <= 0.6 * len(text)):
+        fused = max(value[path], sum(near) / len(near))
+        linked_out = links > 0.6 * len(text) and not (inside and (linked[path] <= 0.6 * length[path] or path[-1] in _HEADINGS))
+        if fused >= least and not linked_out:
             chosen.append(text)
     return "\n".join(chosen)
 
