@@ -1,10 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks (runs of text between block tags) with their root-to-leaf tag paths. Text length,
-punctuation and link text are summed per path, smoothed over neighbouring blocks, fused into one value and thresholded
-per page; elements that by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments don't count. Being in an article or main
-raises a path's value.
+A page is read once into blocks (runs of text between block tags) with their root-to-leaf tag paths. Text and punctuation
+per block and the share of link text are taken per path and per path prefix (the containers), so a path's length doesn't
+count; they are fused, smoothed over neighbouring blocks and compared with the page's own level. Being in an article or main
+raises a path's value. Elements that by tag, role, class or id are menus, headers, adverts and the like don't count.
 
 Edge cases: null or empty html: empty text; unclosed and stray tags are taken as browsers do, closely; text without any
 tag is one block; character references are decoded once, after parsing; repeated rows are read each; extra columns are ignored.
@@ -131,20 +130,40 @@ def main_text(page: str | None, least: float = 0.08) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    length, marks, linked = defaultdict(int), defaultdict(int), defaultdict(int)
+    paths: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])  # blocks, text, punctuation, link text
     for path, text, links, _ in blocks:
-        length[path] += len(text)
-        marks[path] += len(_MARKS.findall(text))
-        linked[path] += links
-    whole = max(length.values())
-    value = {p: length[p] / whole * (1 - min(1.0, linked[p] / length[p])) + min(1.0, 20 * marks[p] / length[p]) * length[p] / whole for p in length}
-    value = {p: v * (1.5 if "article" in p or "main" in p else 1.0) for p, v in value.items()}
+        of = paths[path]
+        of[0] += 1
+        of[1] += len(text)
+        of[2] += len(_MARKS.findall(text))
+        of[3] += min(links, len(text))
+    under: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    for path, of in paths.items():
+        for k in range(len(path)):
+            sums = under[path[:k]]
+            for x in range(4):
+                sums[x] += of[x]
+    # the page's level: per block, of the paths in proportion to their text outside links
+    weight = sum(c - e for _, c, _, e in paths.values()) or 1
+    level = sum((c - e) * c / n for n, c, _, e in paths.values()) / weight or 1.0
+    marked = sum((c - e) * m / n for n, c, m, e in paths.values()) / weight or 1.0
+
+    def ratio(of: list[int]) -> float:
+        n, chars, marks, links = of
+        return (min(1.0, chars / n / level) + min(1.0, marks / n / marked)) / 2 * (1 - links / chars)
+
+    value = {}
+    for path, of in paths.items():
+        around = max((ratio(under[path[:k]]) * (1.0 if path[k - 1] not in ("html", "body") else 0.5) for k in range(1, len(path))), default=0.5 * ratio(under[()]) if path else 0.0)
+        marks_article = any(t in ("article", "main") for t in path)
+        value[path] = (ratio(of) + around) / 2 * (1.5 if marks_article else 1.0)
     chosen = []
     for k, (path, text, links, inside) in enumerate(blocks):
         near = [value[blocks[j][0]] for j in range(max(0, k - 1), min(len(blocks), k + 2))]
         fused = max(value[path], sum(near) / len(near))
-        linked_out = links > 0.6 * len(text) and not (inside and (linked[path] <= 0.6 * length[path] or path[-1] in _HEADINGS))
-        if fused >= least and not linked_out:
+        of = paths[path]
+        linked = links > 0.6 * len(text) and not (inside and (of[3] <= 0.6 * of[1] or path[-1] in _HEADINGS))
+        if fused >= least and not linked:
             chosen.append(text)
     return "\n".join(chosen)
 
