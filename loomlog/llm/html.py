@@ -3,7 +3,8 @@
 A page is read once into blocks (runs of text between block tags) with their root-to-leaf tag paths. Text and punctuation
 per block and the share of link text are taken per path and per path prefix (the containers), so a path's length doesn't
 count; they are fused, smoothed over neighbouring blocks and compared with the page's own level. Being in an article or main
-raises a path's value. Elements that by tag, role, class or id are menus, headers, adverts and the like don't count.
+raises a path's value, a name of a menu, header, advert and the like among the parts of a class or id lowers it. Elements
+that are so by tag, role or a whole class or id, and hidden ones, don't count.
 
 Edge cases: null or empty html: empty text; unclosed and stray tags are taken as browsers do, closely; text without any
 tag is one block; character references are decoded once, after parsing; repeated rows are read each; extra columns are ignored.
@@ -36,31 +37,37 @@ _NAMES = frozenset(
 )
 _CLOSES_P = _BLOCK - {"body", "html", "head"}
 _TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|<[!?][^>]*>")
-_NAMED = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDING = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…、。，！？]")
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def _standing(tag: str, attributes: str, in_article: bool) -> int:
+    """2: boilerplate; 1: a part of a class or id is named like it; 0: neither."""
     if tag in _DROP or (tag == "header" and not in_article):
-        return True
-    if "=" in attributes and tag not in ("html", "body", "article", "main"):
-        for m in _NAMED.finditer(attributes):
-            if _NAMES.intersection(_PARTS.findall((m[1] or m[2] or m[3] or "").lower())):
-                return True
-        if re.search(r"(?i)\b(?:hidden|aria-hidden\s*=\s*[\"']?true)\b", attributes):
-            return True
-    elif "=" in attributes and tag == "article":
-        for m in _NAMED.finditer(attributes):
-            if {"comment", "comments", "reply"}.intersection(_PARTS.findall((m[1] or m[2] or m[3] or "").lower())):
-                return True
-    return False
+        return 2
+    if not attributes.strip(" /"):
+        return 0
+    given: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        given.setdefault(m[1].lower(), references.unescape(m[2] or m[3] or m[4] or ""))
+    if tag in ("html", "body"):
+        return 0
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _HIDING.search(given.get("style", "")):
+        return 2
+    words = " ".join(given.get(k, "") for k in ("class", "id", "role")).lower().split()
+    if tag in ("article", "main"):
+        return 2 if tag == "article" and {"comment", "comments", "reply"}.intersection(words) else 0
+    if _NAMES.intersection(words):
+        return 2
+    return int(any(_NAMES.intersection(_PARTS.findall(w)) for w in words))
 
 
 def blocks_of(page: str):
-    """(path, text, characters of link text, in the article) of each block outside boilerplate, in page order."""
+    """(path, text, characters of link text, in the article) of each block outside boilerplate, in page order; ~ marks a doubtful name."""
     stack: list[tuple[str, bool, bool]] = []  # tag, in boilerplate, in the article
     out, run, linked, at, links = [], [], 0, 0, 0
 
@@ -77,7 +84,7 @@ def blocks_of(page: str):
         if run:
             text = _SPACE.sub(" ", "".join(run)).strip()
             if text:
-                out.append((tuple(t for t, _, _ in stack if t in _BLOCK), text, linked, bool(stack) and stack[-1][2]))
+                out.append((tuple(t for t, _, _ in stack if t.rstrip("~") in _BLOCK), text, linked, bool(stack) and stack[-1][2]))
             run, linked = [], 0
 
     def pop(to: int) -> None:
@@ -98,26 +105,28 @@ def blocks_of(page: str):
         elif tag == "br":
             add(" ")
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0].rstrip("~") == tag), None)
             if k is not None:
                 pop(k)
             continue
         if tag in _VOID:
             continue
         if tag in _CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0].rstrip("~") == "p"), None)
             if k is not None:
                 pop(k)
             if tag in ("li", "dt", "dd", "tr", "td", "th"):
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section") or (tag in ("td", "th") and stack[k][0] == "tr"):
+                    open_ = stack[k][0].rstrip("~")
+                    if open_ in ("ul", "ol", "dl", "table", "div", "article", "section") or (tag in ("td", "th") and open_ == "tr"):
                         break
-                    if stack[k][0] == tag or {stack[k][0], tag} in ({"dt", "dd"}, {"td", "th"}):
+                    if open_ == tag or {open_, tag} in ({"dt", "dd"}, {"td", "th"}):
                         pop(k)
                         break
         skip, inside = stack[-1][1:] if stack else (False, False)
         inside = inside or tag in ("article", "main")
-        stack.append((tag, skip or _is_boilerplate(tag, attributes, inside), inside))
+        standing = 2 if skip else _standing(tag, attributes, inside)
+        stack.append((tag + "~" * (standing == 1 and tag in _BLOCK), standing == 2, inside))
         links += tag == "a"
     add(page[at:])
     end()
@@ -154,9 +163,9 @@ def main_text(page: str | None, least: float = 0.08) -> str:
 
     value = {}
     for path, of in paths.items():
-        around = max((ratio(under[path[:k]]) * (1.0 if path[k - 1] not in ("html", "body") else 0.5) for k in range(1, len(path))), default=0.5 * ratio(under[()]) if path else 0.0)
-        marks_article = any(t in ("article", "main") for t in path)
-        value[path] = (ratio(of) + around) / 2 * (1.5 if marks_article else 1.0)
+        around = max((ratio(under[path[:k]]) * (1.0 if path[k - 1].rstrip("~") not in ("html", "body") else 0.5) for k in range(1, len(path))), default=0.5 * ratio(under[()]) if path else 0.0)
+        doubtful, marks_article = any(t.endswith("~") for t in path), any(t in ("article", "main") for t in path)
+        value[path] = (ratio(of) + around) / 2 * (0.4 if doubtful else 1.0) * (1.5 if marks_article else 1.0)
     chosen = []
     for k, (path, text, links, inside) in enumerate(blocks):
         near = [value[blocks[j][0]] for j in range(max(0, k - 1), min(len(blocks), k + 2))]

@@ -29,3 +29,14 @@ def test_short_blocks_of_a_long_page(outer):
     short = "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>" + "<table>" + "".join(f"<tr><td>{a}<td>{b}<td>{c}" for a, b, c in zip(cells[::3], cells[1::3], cells[2::3])) + "</table>" + "".join(f"<h{k}>{x}</h{k}>" for k, x in enumerate(heads, 1))
     got = html.main_text(outer % (MENU + text + short + text)).split("\n")
     assert len("\n".join(got)) > 100_000 and not set(items + cells + heads) - set(got) and not any("Menu entry" in x for x in got)
+
+
+@pytest.mark.parametrize("given", ['style="overflow:hidden"', 'aria-hidden="false"', 'class="row hidden-xs"', 'title="Hidden gems"', 'class="article-header"', 'class="widget-content"', 'data-x="hidden"'])
+def test_kept(given):
+    page = f"<body><div {given}><h1>Headline</h1><p>{SENTENCE * 3}</p></div><p>{SENTENCE * 3}</p></body>"
+    assert html.main_text(page).split("\n")[0] == "Headline" and html.main_text(page).count("at last") == 6
+
+
+@pytest.mark.parametrize("given", ["hidden", 'hidden=""', 'aria-hidden="true"', "aria-hidden = 'TRUE'", 'style="color:red; display: none"', 'class="big ad"', "id=comments", "role=navigation"])
+def test_dropped(given):
+    assert html.main_text(f"<body><div {given}><p>{SENTENCE * 3}</p></div><p>Kept. {SENTENCE}</p></body>") == "Kept. " + SENTENCE.strip()
