@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and the token-efficiency test for random strings.
 
-A run of 20 or more key characters with both letters and digits is suspicious if a byte-level vocabulary needs many
-tokens for it (few characters per token): words and names compress, random strings don't. Known digests (hexadecimal of
-32, 40, 56, 64, 96 or 128 digits), UUIDs and runs inside a base span are excluded first.
+A run of 20 or more key characters is suspicious if a byte-level vocabulary needs many tokens for it (few characters per
+token): words and names compress, random strings don't, be they letters alone. Known digests (hexadecimal of 32, 40, 56,
+64, 96 or 128 digits) and UUIDs are excluded; of a run that meets base spans the parts outside them are tested, from 20 characters.
 
 Edge cases: a null or empty text has no span; spans of one kind never overlap; repeated rows are scanned each; extra
 columns are ignored; whole texts of any length are scanned.
@@ -28,6 +28,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the whole run, as AKIA[A-Z0-9]+ of
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
+LEAST = 20  # characters of a run, as in _RUN
 _ENCODINGS: dict = {}
 
 
@@ -48,14 +49,19 @@ def spans_of(text: str, encode, ratio: float = 2.4) -> list[tuple[int, int, str]
     base += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)] if "AKIA" in text else []
     base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     more = []
+    held = sorted((x, y) for x, _, y in base)
     for m in _RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or _DIGEST.fullmatch(run):
+        if _DIGEST.fullmatch(m[0]):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if len(run) < ratio * len(encode(run)):
-            more.append((m.start(), 3, m.end()))
+        at, parts = m.start(), []
+        for x, y in held:
+            if x < m.end() and at < y:
+                parts.append((at, x))
+                at = y
+        for x, y in (*parts, (at, m.end())):
+            run = text[x:y]
+            if y - x >= LEAST and not _DIGEST.fullmatch(run) and len(run) < ratio * len(encode(run)):
+                more.append((x, 3, y))
     return sorted(base + more)
 
 
