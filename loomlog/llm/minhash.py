@@ -12,8 +12,9 @@
    join components leave. So no link that matters is lost and no group of copies is expanded into its pairs.
 
 Edge cases: null or empty text: an empty set, linked with nothing; fewer words than a shingle: the whole sequence is
-the one shingle; rows with the same doc_id are one node; a null doc_id stays alone (null component, kept); an empty
-table gives no row; other columns of documents are ignored.
+the one shingle; rows are documents of their own also where they share a doc_id (then component_id is the smallest
+doc_id of the component, and kept holds for each of its rows with that doc_id); a null doc_id stays alone (null component,
+kept); very long texts are read whole, a slice of texts at a time; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from . import shingles
+from .common import connected_components, hot_keys, spread_join, staged, unstage
 from .shingles import mix, shingle_hashes
-from .tokens import in_slices
+from .tokens import in_slices, only_cache
 
 #: Estimates this far below the threshold are still confirmed: over four standard deviations at 192 minima.
 SLACK = 0.16
@@ -76,30 +78,41 @@ class Minima:
 
 
 def signatures(docs: DataFrame, words: int, minima: Minima) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), sig, bands."""
+    """doc_id, text_hash, n_shingles, digest (null for an empty set), sig, bands."""
 
     def sign(batches):
+        only_cache("shingles", shingles.forget)
         for batch in batches:
-            names = batch.column(0)
+            names, hashes = batch.column(0), batch.column(2)
             for a, b, texts in in_slices(batch.column(1)):
                 sets = shingle_hashes(texts, words)
                 low = np.stack([minima.of(x) for x in sets])
                 digest = [None if not len(x) else int(np.add.reduce(mix(x, 1))).to_bytes(8, "little") + int(np.bitwise_xor.reduce(mix(x, 2))).to_bytes(8, "little") for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in minima.pack(low)], pa.binary()), pa.array(list(minima.band_keys(low)), pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "sig", "bands"],
+                    [names.slice(a, b - a), hashes.slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in minima.pack(low)], pa.binary()), pa.array(list(minima.band_keys(low)), pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "sig", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """id, hashes of texts (id, text)."""
+
     def sets(batches):
+        only_cache("shingles", shingles.forget)
         for batch in batches:
-            for a, b, texts in in_slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in shingle_hashes(texts, words)], pa.binary())], names=["id", "hashes"])
+            for a, b, some in in_slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in shingle_hashes(some, words)], pa.binary())], names=["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(sets, "id long, hashes binary")
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "id long, hashes binary")
+
+def paired(pairs: DataFrame, sides: DataFrame, column: str) -> DataFrame:
+    """Staged pairs (src, dst) with sides' column of both; a src with a large part of the pairs (the head of many buckets) is dealt in parts."""
+    hot = hot_keys(pairs, "src", pairs.count())
+    one = spread_join(pairs, sides.select(F.col("id").alias("src"), F.col(column).alias("x")), "src", hot, "dst")
+    return one.join(sides.select(F.col("id").alias("dst"), F.col(column).alias("y")), "dst")
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, minima: Minima, threshold: float) -> DataFrame:
@@ -108,11 +121,10 @@ def likely(pairs: DataFrame, sigs: DataFrame, minima: Minima, threshold: float)
     def keep(batches):
         for batch in batches:
             if batch.num_rows:
-                est = minima.similarity(minima.words(batch.column("sa").to_pylist()), minima.words(batch.column("sb").to_pylist()))
+                est = minima.similarity(minima.words(batch.column("x").to_pylist()), minima.words(batch.column("y").to_pylist()))
                 yield batch.select(["src", "dst"]).filter(pa.array(est >= threshold - SLACK))
 
-    both = pairs.join(sigs.select(F.col("id").alias("src"), F.col("sig").alias("sa")), "src").join(sigs.select(F.col("id").alias("dst"), F.col("sig").alias("sb")), "dst")
-    return both.mapInArrow(keep, "src long, dst long")
+    return paired(pairs, sigs, "sig").mapInArrow(keep, "src long, dst long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -121,7 +133,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def keep(batches):
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column("ha"), batch.column("hb"), strict=True):
+            for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
                     ok.append(False)
@@ -131,8 +143,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("hashes").alias("ha")), "src").join(sets.select(F.col("id").alias("dst"), F.col("hashes").alias("hb")), "dst")
-    return both.mapInArrow(keep, "src long, dst long").distinct()
+    return paired(pairs, sets, "hashes").mapInArrow(keep, "src long, dst long").distinct()
 
 
 def in_blocks(rows: DataFrame, key: str, cuts, fields: list[str]) -> DataFrame:
@@ -229,37 +240,54 @@ def cluster_links(nodes: DataFrame, minima: Minima, threshold: float, percent: i
     return dealt.mapInArrow(link, "src long, dst long")
 
 
+def _classes(own: DataFrame) -> DataFrame:
+    """One staged row per set: digest, id (a long of its own), doc_id (the smallest), text_hash (of a text with this set), sig, bands."""
+    reps = staged(own.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "sig", "bands")).alias("r")).select("digest", "r.*"), "reps")
+    shared = staged(reps.groupBy("doc_id").agg(F.count("*").alias("m"), F.min("digest").alias("first")).where("m > 1").select("doc_id", "first"), "shared")
+    if shared.isEmpty():
+        return reps.withColumn("id", F.col("doc_id"))
+    # sets whose smallest doc_id is another set's as well: all but one of them get numbers that no doc_id has
+    top = reps.agg(F.max("doc_id").alias("hi"), F.min("doc_id").alias("lo")).first()
+    up = top["hi"] < 1 << 62
+    marked = reps.join(shared, "doc_id", "left").withColumn("own", F.coalesce(F.col("first") == F.col("digest"), F.lit(True)))
+    number = F.monotonically_increasing_id()
+    fresh = F.lit(top["hi"] + 1) + number if up else F.lit(top["lo"] - 1) - number
+    return staged(marked.withColumn("id", F.when(F.col("own"), F.col("doc_id")).otherwise(fresh)).drop("own", "first"), "reps")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, minima: Minima | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+    """doc_id, text_hash (xxhash64), n_shingles, component_id, kept, stays of every row of docs. Of each component the rows of
+    one doc_id with one text have ``stays``."""
     minima = minima or Minima()
     threshold = percent / 100
     signed = staged(signatures(docs, words, minima), "signed")
-    own = signed.where("digest is not null and doc_id is not null")
-    reps = staged(own.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r")).select("digest", "r.*"), "reps")
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    heads = rows.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
-    members = staged(rows.join(heads, "key").select("key", F.col("doc_id").alias("id"), "head"), "members")
+    reps = _classes(signed.where("digest is not null and doc_id is not null"))
+    rows = reps.select("id", F.explode("bands").alias("key"))
+    buckets = staged(rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1"), "buckets")
+    held = buckets.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    hot = hot_keys(rows, "key", max(1, held))
+    members = staged(spread_join(rows, buckets.select("key", "head"), "key", hot, "id").select("key", "id", "head"), "members")
     nodes = members.select("id").distinct()
-    sigs = staged(reps.select(F.col("doc_id").alias("id"), "sig").join(nodes, "id").dropDuplicates(["id"]), "sigs")
-    stars = members.where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")).distinct()
+    sigs = staged(reps.select("id", "sig").join(nodes, "id"), "sigs")
+    stars = staged(members.where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")).distinct(), "stars")
     tested = staged(likely(stars, sigs, minima, threshold), "tested")
-    texts = docs.select("doc_id", "text").join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = staged(shingle_sets(texts, words), "sets")
+    texts = reps.join(nodes, "id").select("id", "doc_id", F.col("text_hash").alias("h")).join(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), ["doc_id", "h"])
+    sets = staged(shingle_sets(texts.select("id", "text"), words).dropDuplicates(["id"]), "sets")
     links = staged(confirmed(tested, sets, percent), "links")
-    # documents that hold several texts under one doc_id link the classes of these texts
-    twins = own.select("doc_id", "digest").distinct().join(reps.select("digest", F.col("doc_id").alias("rep")), "digest").where("doc_id <> rep")
-    same = twins.join(nodes.select(F.col("id").alias("doc_id")).unionByName(twins.groupBy("doc_id").count().where("count > 1").select("doc_id")).distinct(), "doc_id")
-    links = staged(links.unionByName(same.select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))).distinct(), "links")
-    comps = connected_components(links)
+    comps = staged(connected_components(links), "comps")
     placed = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     trees = staged(forests(placed.join(mixed, "key").join(sigs, "id"), minima, threshold), "trees")
     if not trees.isEmpty():
         clusters = connected_components(trees).select("id", F.col("component").alias("cluster"))
         own_comp = clusters.join(comps, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("comp"))
-        more = cluster_links(own_comp.join(sigs, "id").join(sets.dropDuplicates(["id"]), "id"), minima, threshold, percent)
-        comps = connected_components(staged(links.unionByName(more), "links"))
-    by_class = reps.select("digest", F.col("doc_id").alias("id")).join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+        more = cluster_links(own_comp.join(sigs, "id").join(sets, "id"), minima, threshold, percent)
+        comps = staged(connected_components(staged(links.unionByName(more), "links")), "comps")
+    unstage(members, buckets, sigs, stars, tested, sets, links, trees)
+    per = reps.select("digest", "id", "doc_id", "text_hash").join(comps, "id", "left").select("digest", "doc_id", "text_hash", F.coalesce("component", "id").alias("c"))
+    best = per.groupBy("c").agg(F.min(F.struct("doc_id", "digest", "text_hash")).alias("best"))
+    per = staged(per.join(best, "c").select("digest", F.col("best.doc_id").alias("low"), F.col("best.text_hash").alias("low_hash")), "classes")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(per, "digest", "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == comp, F.lit(True))
+    return out.select("doc_id", "text_hash", "n_shingles", comp.alias("component_id"), kept.alias("kept"), (kept & F.coalesce(F.col("low_hash") == F.col("text_hash"), F.lit(True))).alias("stays"))

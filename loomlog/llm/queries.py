@@ -56,7 +56,7 @@ def op8_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

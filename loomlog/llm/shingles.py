@@ -35,6 +35,12 @@ def _powers(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drops the tables of powers, which the next call makes anew."""
+    for kind in _POWERS:
+        _POWERS[kind] = np.ones(1, _U)
+
+
 def shingle_hashes(texts: list[str | None], words: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of that many words; of a shorter text, one of all its words."""
     data = [(t or "").encode().lower() for t in texts]  # bytes.lower() changes A-Z alone

@@ -110,10 +110,21 @@ class CachedEncoder:
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
+_CACHE: dict[str, object] = {}
+
+
+def only_cache(name: str, clear=None) -> None:
+    """Says that this worker process now works for ``name``: what other operators have cached in it is cleared, so that a
+    worker that is used again holds the cache of one operator."""
+    for other in [k for k in _CACHE if k != name]:
+        _CACHE.pop(other)()
+    if clear:
+        _CACHE[name] = clear
 
 
 def encoder(path: str) -> CachedEncoder:
     """One encoder for each worker process and vocabulary."""
+    only_cache(path, lambda: _ENCODERS.pop(path, None))
     if path not in _ENCODERS:
         _ENCODERS[path] = CachedEncoder(path)
     return _ENCODERS[path]

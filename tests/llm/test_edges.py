@@ -56,7 +56,7 @@ OPERATORS = {
     "mixing": (lambda d: mixing.mix(mixing.sized(d)), ["doc_id", "size", "source_size", "target", "taken"]),
     "toxicity": (lambda d: toxicity.score(d, toxicity.Model([])), ["doc_id", "held_out", "score", "predicted"]),
     "secrets": (lambda d: secrets.scan(d, queries.vocabulary(queries.BYTE_RANKS)), ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
-    "minhash": (lambda d: minhash.near_duplicates(d), ["doc_id", "n_shingles", "component_id", "kept"]),
+    "minhash": (lambda d: minhash.near_duplicates(d), ["doc_id", "text_hash", "n_shingles", "component_id", "kept", "stays"]),
     "sketches": (lambda d: sketches.fingerprints(d), ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]),
 }
 
@@ -110,6 +110,18 @@ def test_near_duplicate_classes(docs):
     assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
 
 
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark, tmp_path):
+    a, b, c = ("".join(f"{x}{k} " for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a + "end"), (7, b + "end"), (9, c), (9, c), (5, c + "end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"], r["stays"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(3, 3, True, True), (5, 3, False, False), (5, 5, True, True), (5, 5, True, True), (7, 5, False, False), (9, 5, False, False), (9, 5, False, False)]
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == sorted([(3, a + "end"), (5, b), (5, c + "end")])
+    once = corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id = 9"), str(tmp_path)).collect()
+    assert [r["doc_id"] for r in once] == [9]
+
+
 def test_mix_bounds(docs):
     got = mixing.mix(mixing.sized(docs)).collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
