@@ -47,6 +47,7 @@ PATTERNS = {
 _WORD = re.compile(r"[^\W_]+")
 _LENGTHS = range(4, 9)
 RIDGE = 0.2
+TRUST = 0.95
 ENOUGH = 10  # labelled rows of each kind, fewer of which teach nothing
 SAME = 0.6  # correlation within toxic documents from which a vote repeats another
 
@@ -72,7 +73,8 @@ class LabelModel:
     def __init__(self, toxic_share: float, rounds: int = 40, start: float = 2.5):
         self.share, self.rounds, self.start = min(0.5, max(0.005, toxic_share)), rounds, start
 
-    def fit(self, votes: np.ndarray) -> np.ndarray:
+    def fit(self, votes: np.ndarray, trusted: np.ndarray | bool = False) -> np.ndarray:
+        """Posteriors. The accuracy of ``trusted`` voters (those set by hand) is the mean of ``TRUST`` and what the votes say."""
         m, fires = votes.shape[1], votes.mean(axis=0)
         self.weight, self.evidence = np.ones(m), np.full(m, self.start)
         self.correlation = [np.eye(m), np.eye(m)]
@@ -83,6 +85,7 @@ class LabelModel:
             repeated = np.where(self.correlation[1] > SAME, self.correlation[1], 0) * self.evidence[:, None]
             others = _logistic(odds[:, None] - votes @ repeated)  # of each document, without each voter
             on = np.clip(((others * votes).sum(axis=0) + fires * self.share) / (votes.sum(axis=0) + fires), 1e-4, 1 - 1e-4)
+            on = np.where(trusted, (on + TRUST) / 2, on)
             total = votes.sum(axis=0)
             self.rates = np.stack([np.clip((1 - on) * total / (len(votes) - p1 + 1), 1e-5, 0.99), np.clip(on * total / p1, 1e-5, 0.99)])
             self.correlation = [self._correlation(votes, p) for p in (1 - post, post)]
@@ -181,7 +184,8 @@ class Model:
         votes = (x > 0).astype(np.float32)
         used = votes.sum(axis=0) > 0
         self.labels = LabelModel(toxic / len(once))
-        post = self.labels.fit(votes[:, used].astype(np.float64))
+        byhand = np.array([f[0] == "=" and f[1:] in LEXICON for f in self.voters] + [True] * len(PATTERNS))
+        post = self.labels.fit(votes[:, used].astype(np.float64), byhand[used])
         self.evidence = np.full(self.size, 1.0)
         self.evidence[used] = np.maximum(0.0, self.labels.evidence)
         self.posterior = post[: len(once)]
