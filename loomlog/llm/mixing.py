@@ -6,7 +6,7 @@ first, then the fraction that is left. The document on the boundary gives the wo
 
 Edge cases: a null source is a source, ordered last; a null or empty text has size 0 and is never taken; rows with the
 same doc_id have the same key, and each is counted; an empty table gives an empty result; a source without words gets a
-target of 0.
+target of 0; rows of one doc_id and size are ordered by a hash of the text; other columns, clashing names too, pass through.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import ranked, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,8 +32,9 @@ def quality_of(text: Column, size: Column) -> Column:
 def targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int = 2) -> DataFrame:
     """skey, source, source_size, weight, target of each source. One row per distinct source; the driver only gets sums."""
     per = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = staged(per.select("*", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long").alias("weight")), "sources")
+    per = ranked(per, F.col("source").asc_nulls_last())
+    rank = F.col("rank")
+    per = staged(per.select("skey", "source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long").alias("weight")), "sources")
     level, closed = 0.0, -1
     while True:
         full = limit * F.col("source_size") <= level * F.col("weight")
@@ -48,13 +49,13 @@ def targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int
     return per.withColumn("target", F.least((limit * F.col("source_size")).cast("double"), level * F.col("weight")))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int = 2, seed: int = 7, cells: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int = 2, seed: int = 7, cells: int | None = None, tie: Column | None = None) -> DataFrame:
     """docs has doc_id, source, size, quality and any others; adds source_size, target, taken.
 
     No source is gathered in one task: keys fall into cells by their order, one aggregate per source and cell gives the
     words before each cell, and only rows of the same source and cell are sorted together."""
     clash = [c for c in docs.columns if c not in ("doc_id", "source", "size", "quality")]
-    rows = docs.select("doc_id", "source", "size", "quality", F.struct(*clash).alias("_rest") if clash else F.lit(0).alias("_rest"))
+    rows = docs.select("doc_id", "source", "size", "quality", F.struct(*clash).alias("_rest") if clash else F.lit(0).alias("_rest"), (F.lit(0) if tie is None else tie).alias("_tie"))
     if cells is None:
         cells = max(64, docs.select("size").count() // 1000)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int = 2,
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long"))
         .select("skey", "cell", "cell_before", "source_size", "target", "epochs", (F.col("budget") - F.col("epochs") * F.col("source_size")).alias("part"))
     )
-    order = Window.partitionBy("skey", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("skey", "cell").orderBy("key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = (
         rows.join(bounds, ["skey", "cell"])
         .withColumn("before", F.col("cell_before") + F.sum("size").over(order) - F.col("size"))
@@ -85,9 +86,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int = 2,
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, quality: staged, so that the texts are read once."""
+    """doc_id, source, size, quality, text_hash: staged, so that the texts are read once."""
     rows = docs.select("doc_id", "source", "text").withColumn("size", size_of(F.col("text")))
-    return staged(rows.select("doc_id", "source", "size", quality_of(F.col("text"), F.col("size")).alias("quality")), "sized")
+    return staged(rows.select("doc_id", "source", "size", quality_of(F.col("text"), F.col("size")).alias("quality"), F.xxhash64("text").alias("text_hash")), "sized")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -95,7 +96,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     names = docs.columns
     rows = docs.withColumn("_row", F.struct(*names)).select("doc_id", "source", "_row", size_of(F.col("text")).alias("size"), F.col("text").alias("_text"))
     rows = rows.select("doc_id", "source", "size", quality_of(F.col("_text"), F.col("size")).alias("quality"), "_row")
-    out = mix(rows, **how)
+    out = mix(rows, **{"tie": F.xxhash64(F.col("_row")["text"])} | how)
     times = F.floor((2 * F.col("taken") + F.col("size")) / F.when(F.col("size") > 0, 2 * F.col("size")))
     out = out.where("size > 0").withColumn("_times", times.cast("int")).where("_times > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col("_row")[c].alias(c) for c in names))

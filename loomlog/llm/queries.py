@@ -25,7 +25,7 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(mixing.sized(docs), tie=F.col("text_hash")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A run of 20 or more key characters is suspicious if a byte-level vocabulary needs many tokens for it (few characters per
 token): words and names compress, random strings don't, be they letters alone. Known digests (hexadecimal of 32, 40, 56,
-64, 96 or 128 digits) and UUIDs are excluded; of a run that meets base spans the parts outside them are tested, from 20 characters.
+64, 96 or 128 digits) and UUIDs are excluded, also as a part of a run between marks (``sha256-...``, ``id=...``); of a run
+that meets these or base spans the parts outside them are tested, from 20 characters.
 
 Edge cases: a null or empty text has no span; spans of one kind never overlap; repeated rows are scanned each; extra
 columns are ignored; whole texts of any length are scanned.
@@ -27,7 +28,7 @@ _ASSIGN = re.compile(rf"""({_KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the whole run, as AKIA[A-Z0-9]+ of 20 or more
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
+_DIGEST = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(?![A-Za-z0-9])")
 LEAST = 20  # characters of a run, as in _RUN
 _ENCODINGS: dict = {}
 
@@ -51,16 +52,14 @@ def spans_of(text: str, encode, ratio: float = 2.4) -> list[tuple[int, int, str]
     more = []
     held = sorted((x, y) for x, _, y in base)
     for m in _RUN.finditer(text):
-        if _DIGEST.fullmatch(m[0]):
-            continue
+        known = [(x.start(), x.end()) for x in _DIGEST.finditer(text, m.start(), m.end())]
         at, parts = m.start(), []
-        for x, y in held:
+        for x, y in sorted(held + known) if known else held:
             if x < m.end() and at < y:
                 parts.append((at, x))
-                at = y
+                at = max(at, y)
         for x, y in (*parts, (at, m.end())):
-            run = text[x:y]
-            if y - x >= LEAST and not _DIGEST.fullmatch(run) and len(run) < ratio * len(encode(run)):
+            if y - x >= LEAST and y - x < ratio * len(encode(text[x:y])):
                 more.append((x, 3, y))
     return sorted(base + more)
 

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters look at a text and fire or abstain: a fixed lexicon, fixed patterns (an insult in an address, its spaced or masked
-spellings, shouting), and a lexicon induced from labelled learning rows (words and word beginnings that are far more
+spellings), and a lexicon induced from labelled learning rows (words and word beginnings that are far more
 frequent in toxic ones). ``LabelModel`` then estimates, from the votes alone, how often each voter fires on toxic and on
 clean documents (its accuracy) and how voters are correlated within a class; correlated voters share their evidence. Labels
 enter it only as the share of toxic documents. A linear classifier is fitted to its posteriors and scores every whole text.
@@ -41,7 +41,6 @@ PATTERNS = {
     "plural": re.compile(rf"\b(?:{_INSULT})(?:s|en|es)\b"),
     "masked": re.compile(r"\b(?:[1!]d[1!]ot|m0r0n|stup[1!]d|tr[4@]sh|l0ser|cl0wn)s?\b"),
     "spaced": re.compile(rf"\b(?:{'|'.join('[-_. ]'.join(w) for w in LEXICON[:12])})\b"),
-    "shouting": re.compile(r"(?:\w+[,.]?!!+\s+){4}"),
     "twice": re.compile(rf"\b(?:{_INSULT})\b.*\b(?:{_INSULT})\b", re.S),
 }
 _WORD = re.compile(r"[^\W_]+")
@@ -66,8 +65,9 @@ class LabelModel:
     """A two-class model of votes: firing rates by class, correlations within a class, posteriors; no label is read.
 
     A voter that doesn't fire abstains, which says nothing. ``fit`` alternates posteriors and rates, from a start in which
-    each voter is better than chance. A voter's rates are read off posteriors without its own vote and without what
-    votes that repeat it add, so a voter that no other one bears out loses its say. A vote's evidence is divided by one
+    each voter is better than chance. A voter's accuracy is the share of toxic documents, among those on which it fires, that
+    the other votes on them make likely, without votes that repeat it: never too high, and a voter that no other one bears out
+    loses its say. A vote's evidence is divided by one
     plus the correlations with the votes beside it, so that voters that say the same thing count once."""
 
     def __init__(self, toxic_share: float, rounds: int = 40, start: float = 2.5):
@@ -75,7 +75,7 @@ class LabelModel:
 
     def fit(self, votes: np.ndarray, trusted: np.ndarray | bool = False) -> np.ndarray:
         """Posteriors. The accuracy of ``trusted`` voters (those set by hand) is the mean of ``TRUST`` and what the votes say."""
-        m, fires = votes.shape[1], votes.mean(axis=0)
+        m, total, prior = votes.shape[1], votes.sum(axis=0), np.log(self.share / (1 - self.share))
         self.weight, self.evidence = np.ones(m), np.full(m, self.start)
         self.correlation = [np.eye(m), np.eye(m)]
         odds = self.odds(votes)
@@ -83,10 +83,9 @@ class LabelModel:
         for _ in range(self.rounds):
             p1 = max(1.0, post.sum())
             repeated = np.where(self.correlation[1] > SAME, self.correlation[1], 0) * self.evidence[:, None]
-            others = _logistic(odds[:, None] - votes @ repeated)  # of each document, without each voter
-            on = np.clip(((others * votes).sum(axis=0) + fires * self.share) / (votes.sum(axis=0) + fires), 1e-4, 1 - 1e-4)
+            others = odds[:, None] - prior - votes @ repeated  # evidence on each document without each voter
+            on = np.clip(((_logistic(prior + others) * votes).sum(axis=0) + self.share) / (total + 1), 1e-4, 1 - 1e-4)
             on = np.where(trusted, (on + TRUST) / 2, on)
-            total = votes.sum(axis=0)
             self.rates = np.stack([np.clip((1 - on) * total / (len(votes) - p1 + 1), 1e-5, 0.99), np.clip(on * total / p1, 1e-5, 0.99)])
             self.correlation = [self._correlation(votes, p) for p in (1 - post, post)]
             shared = np.where(self.correlation[1] > 4 / np.sqrt(max(4.0, p1)), self.correlation[1], 0)  # not by chance

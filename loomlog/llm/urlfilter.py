@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hot_keys, spread_join, staged
 
 #: The listed rules (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+BROADCAST_RULES = 200_000
 _WORDS = 8  # 64-bit words of a block; each key sets one bit in each
 
 
@@ -44,6 +45,33 @@ class BlockedBloom:
         return ((self.table[block] & bit) == bit).all(axis=1)
 
 
+def _filter_of(listed: DataFrame, entries: int) -> BlockedBloom:
+    """The filter of listed's keys: each task fills a part, parts are joined segment by segment, the driver gets each segment once."""
+    empty = BlockedBloom(entries)
+    width = 4096  # blocks of a segment: 256 KB
+
+    def parts(batches):
+        own = BlockedBloom(entries)
+        for batch in batches:
+            own.add(batch.column(0).to_numpy())
+        for at in range(0, len(own.table), width):
+            piece = own.table[at : at + width]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["at", "words"])
+
+    def joined(key, table):
+        out = np.frombuffer(table.column("words")[0].as_py(), np.uint64).copy()
+        for x in table.column("words")[1:]:
+            out |= np.frombuffer(x.as_buffer(), np.uint64)
+        return pa.table({"at": [key[0].as_py()], "words": pa.array([out.tobytes()], pa.binary())})
+
+    segments = listed.select("key").mapInArrow(parts, "at long, words binary").groupBy("at").applyInArrow(joined, "at long, words binary")
+    for row in segments.toLocalIterator():
+        found = np.frombuffer(row["words"], np.uint64).reshape(-1, _WORDS)
+        empty.table[row["at"] : row["at"] + len(found)] = found
+    return empty
+
+
 def canonical(pages: DataFrame) -> DataFrame:
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
@@ -59,14 +87,8 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict. listed: rule_host, rule_path, rule_verdict."""
     listed = staged(listed.withColumn("key", F.xxhash64("rule_host", "rule_path")), "listed")
-    bloom = BlockedBloom(listed.count())
-    held: list[int] = []
-    for row in listed.select("key").toLocalIterator():  # one partition at a time
-        held.append(row[0])
-        if len(held) == 100_000:
-            bloom.add(np.array(held, np.int64))
-            held = []
-    bloom.add(np.array(held, np.int64))
+    entries = listed.count()
+    bloom = _filter_of(listed, entries)
     lengths = [r[0] for r in listed.select(F.length("rule_path")).distinct().collect()]  # distinct lengths of listed paths
     shared = pages.sparkSession.sparkContext.broadcast(bloom)
     rows = canonical(pages).withColumn("row", F.monotonically_increasing_id())
@@ -82,7 +104,16 @@ def judge(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> Data
         for batch in batches:
             yield batch.filter(pa.array(shared.value.might_have(batch.column("key").to_numpy())))
 
-    hits = cand.mapInArrow(probe, cand.schema).join(listed.drop("key").distinct(), ["rule_host", "rule_path"])
+    hits = cand.mapInArrow(probe, cand.schema)
+    exact = listed.groupBy("rule_host", "rule_path").agg(F.min(F.struct((F.col("rule_verdict") != "block").alias("o"), "rule_verdict"))["rule_verdict"].alias("rule_verdict"))
+    on = ["rule_host", "rule_path"]
+    if entries <= BROADCAST_RULES:  # a checked size
+        hits = hits.join(F.broadcast(exact), on)
+    else:  # a rule that fits a large part of all urls is dealt in parts
+        key = F.xxhash64(*on).alias("rule_key")
+        hits = staged(hits.select("*", key), "hits")
+        hits = spread_join(hits, exact.select(key, F.col("rule_host").alias("h"), F.col("rule_path").alias("p"), "rule_verdict"), "rule_key", hot_keys(hits, "rule_key", hits.count()), "row")
+        hits = hits.where("rule_host = h and rule_path = p")
     best = hits.groupBy("row").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"), F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))).alias("b"))
     out = rows.join(best, "row", "left")
     return out.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.rule_verdict", F.lit(otherwise)).alias("verdict"))

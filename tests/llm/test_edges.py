@@ -169,6 +169,22 @@ def test_vectors(spark):
     assert vectors.near_vectors(table.where("false")).collect() == []
 
 
+def test_one_vec_id_with_two_vectors(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.1]), (7, [0.1, 1.0]), (8, [0.0, 1.1])]
+    for kind in ("double", "float"):
+        got = vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+        assert sorted(map(tuple, got)) == [(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (8, 2, 5, False)]
+
+
+def test_rule_with_both_verdicts_and_a_long_list(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.b/x"), (2, "http://c.d/y"), (3, "http://n77.e/")], "page_id long, url string")
+    listed = spark.createDataFrame([("b", "/x", "allow"), ("b", "/x", "block"), ("d", "/y", "block"), ("d", "/y", "allow"), *((f"n{k}.e", "/", "block") for k in range(3000))], urlfilter.rules_frame(spark).schema)
+    want = [(1, "b/x", "block"), (2, "d/y", "block"), (3, "n77.e/", "block")]
+    for bound in (urlfilter.BROADCAST_RULES, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST_RULES", bound)
+        assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, listed).collect()) == want
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, docs, labels, name, tmp_path):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars", "key", "digest", "_row", "size", "start")
