@@ -2,16 +2,18 @@
 
 A text's paragraphs are its lines, cut at spaces into pieces of at most 99 code points; a piece's digest is a 64-bit
 hash, and a text is the set of its digests. A sketch has 24 cells in three tables; each digest enters one cell of each
-(count, xor of digests, xor of their hashes). Two sketches are subtracted cell by cell; cells that hold one digest are
-peeled until all are empty, which gives the digests that only one version has. Where 24 cells can't do or
-fail, larger sketches are built of the versions: digests are dealt to enough parts of 24 cells each, and parts that
-don't peel are dealt to four times as many in each retry; digests that even three retries leave are compared directly.
+(count, xor of digests, xor of their hashes). Every two versions' published sketches are subtracted cell by cell; cells that
+hold one digest are peeled until all are empty, which gives the digests that only one version has. What fails is retried
+larger: the counts left in the failed sketch estimate the difference, and both versions' digests are dealt to enough parts of
+24 cells each for it; parts that don't peel are dealt to four times as many in each of three retries. Digests that even these
+leave (level ``DIRECT`` of ``differences``) are compared directly.
 
-The documents are dealt by ranges of doc_id, so that a document's successor is in its own group or heads the next.
+The documents are dealt by ranges of (doc_id, hash of the text), so that a document's successor is in its own group or heads
+the next; the ranges' bounds are a sample of at most about ``BOUNDS`` rows.
 
 Edge cases: a null text is empty; two empty texts are alike (1.0); equal texts have equal fingerprints; rows with the
-same doc_id follow each other by a hash of the text; a null doc_id comes last; an only document follows itself; an
-empty table gives no row; extra columns are ignored.
+same doc_id follow each other by a hash of the text; a null doc_id comes last; an only document follows itself; very long
+texts are read whole; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,23 +23,26 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: A piece of text, and the cells of a digest k.
+#: A piece of text, and the cells of a digest k in the three tables.
 PIECE = r"(?s)[^\n]{1,99}(?: |\n|$)|[^\n]{1,99}|\n"
 _CELLS = ("pmod({k}, 8L)", "8L + pmod(shiftright({k}, 21), 8L)", "16L + pmod(shiftright({k}, 42), 8L)")
+BOUNDS = 100_000
+DIRECT = 9
 
 
 def digests(text: str) -> Column:
     return F.expr(f"array_distinct(transform(regexp_extract_all({text}, r'{PIECE}', 0), x -> xxhash64(x)))")
 
 
+def _tables(items: str, key: str, count: str) -> Column:
+    """24 cells (c, n, k, h) of an array, table by table."""
+    one = "transform(sequence({t}L, {t}L + 7L), c -> aggregate(filter({items}, x -> {cell} = c), named_struct('c', c, 'n', 0L, 'k', 0L, 'h', 0L), (s, x) -> named_struct('c', s.c, 'n', s.n + {count}, 'k', s.k ^ {key}, 'h', s.h ^ xxhash64({key}))))"
+    return F.expr("concat(" + ", ".join(one.format(t=8 * t, items=items, cell=c.format(k=key), key=key, count=count) for t, c in enumerate(_CELLS)) + ")")
+
+
 def sketch(keys: str) -> Column:
-    """24 cells (c, n, k, h) of an array of digests."""
-    at = " or ".join(f"{c.format(k='x')} = c" for c in _CELLS)
-    return F.expr(
-        f"""transform(sequence(0L, 23L), c -> aggregate(filter({keys}, x -> {at}),
-            named_struct('c', c, 'n', 0L, 'k', 0L, 'h', 0L),
-            (s, x) -> named_struct('c', s.c, 'n', s.n + 1L, 'k', s.k ^ x, 'h', s.h ^ xxhash64(x))))"""
-    )
+    """The sketch of an array of digests."""
+    return _tables(keys, "x", "1L")
 
 
 def subtract(a: str, b: str) -> Column:
@@ -56,78 +61,77 @@ def peel(cells: str, steps: int = 20) -> Column:
     )
 
 
-def with_next(docs: DataFrame, group_rows: int = 2000) -> DataFrame:
-    """doc_id, text and the next document's text in descending doc_id, the last's being the first's; column g has the groups."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    groups = min(1_000_000, max(1, docs.select("doc_id").count() // group_rows))
-    cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / groups for k in range(1, groups)], 0.2 / groups) if groups > 1 else []
-    cuts = sorted(set(cuts))
-    step = max(1, int(len(cuts) ** 0.5))
-    lists = [cuts[k : k + step] for k in range(0, len(cuts), step)]
-    d = "cast(doc_id as double)"
-    if lists:  # two short searches instead of one through all cuts
-        heads = f"array({', '.join(f'{x[0]!r}D' for x in lists)})"
-        inner = f"array({', '.join('array(' + ', '.join(f'{v!r}D' for v in x) + ')' for x in lists)})"
-        top = f"size(filter({heads}, c -> c <= {d}))"
-        rows = rows.withColumn("_top", F.expr(f"if(doc_id is null, 0, {top})"))
-        rows = rows.withColumn("g", F.expr(f"if(doc_id is null, -1, if(_top = 0, 0, (_top - 1) * {step} + size(filter(get({inner}, _top - 1), c -> c <= {d}))))")).drop("_top")
-    else:
-        rows = rows.withColumn("g", F.expr("if(doc_id is null, -1, 0)"))
-    place = F.struct(F.col("doc_id"), F.xxhash64("text").alias("t"))
-    heads = rows.groupBy("g").agg(F.max_by("text", place).alias("head"))
+def with_next(docs: DataFrame, group_rows: int = 500) -> DataFrame:
+    """doc_id, text, a (digests), sketch_a, and next, x, sketch_x: the same of the next document in descending doc_id, the last's
+    being the first's. Texts are dealt once, by g, the number of bounds that aren't after their place."""
+    place = F.struct("doc_id", "h")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    every = max(group_rows, docs.select("doc_id").count() // BOUNDS)
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "h", F.lit(29)), F.lit(every)) == 0)
+    bounds = drawn.agg(F.array_sort(F.collect_set(place)).alias("b")).select(F.struct("b", F.filter("b", lambda _, i: i % 100 == 0).alias("tops")).alias("s"))
+    dealt = rows.withColumn("s", bounds.scalar()).withColumn("p", place).withColumn("t", F.expr("size(filter(s.tops, c -> c <= p))"))
+    g = F.expr("if(t = 0, 0, (t - 1) * 100 + size(filter(slice(s.b, (t - 1) * 100 + 1, 100), c -> c <= p)))")
+    dealt = dealt.select(g.alias("g"), "doc_id", "h", "text")
+    heads = dealt.groupBy("g").agg(F.max_by("text", place).alias("head"))
     ids = heads.select("g")  # one row per group
     w = Window.orderBy(F.desc("g"))
     follow = ids.select("g", F.coalesce(F.lead("g").over(w), F.max("g").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("ng"))
-    head = follow.join(heads.withColumnRenamed("g", "ng"), "ng").select("g", "head")
-    order = Window.partitionBy("g").orderBy(F.desc("doc_id"), F.xxhash64("text").desc())
-    out = rows.withColumn("next", F.lead("text").over(order)).join(head, "g")
-    return out.select("g", "doc_id", "text", F.coalesce("next", "head").alias("next"))
+    head = follow.join(heads.withColumnRenamed("g", "ng"), "ng").select("g", "head").withColumn("head_keys", digests("head"))
+    head = head.select("g", F.struct(F.col("head").alias("text"), F.col("head_keys").alias("a"), sketch("head_keys").alias("sketch_a")).alias("head"))
+    sketched = dealt.repartition("g").withColumn("a", digests("text")).withColumn("sketch_a", sketch("a"))
+    order = Window.partitionBy("g").orderBy(F.desc("doc_id"), F.desc("h"))
+    out = sketched.withColumn("next", F.lead(F.struct("text", "a", "sketch_a")).over(order)).join(head, "g").withColumn("next", F.coalesce("next", "head"))
+    return out.select("doc_id", "text", "a", "sketch_a", F.col("next.text").alias("next"), F.col("next.a").alias("x"), F.col("next.sketch_a").alias("sketch_x"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """with_next and the edited text: the last floor(n / 2) code points replaced by the first as many of the next."""
-    return with_next(docs).select(
-        "doc_id", "text", "next", F.length("text").cast("long").alias("n_chars"),
-        F.expr("concat(substring(text, 1, length(text) - length(text) div 2), substring(next, 1, int(length(text) div 2)))").alias("edited"),
-    )
+    """with_next and the edited text: the last floor(n / 2) code points replaced by the first as many of the next; e, sketch_e of it."""
+    change = F.expr("concat(substring(text, 1, length(text) - length(text) div 2), substring(next, 1, int(length(text) div 2)))")
+    out = with_next(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), change.alias("edited"), "a", "sketch_a", "x", "sketch_x")
+    return out.withColumn("e", digests("edited")).withColumn("sketch_e", sketch("e"))
+
+
+def first_try(df: DataFrame, b: str) -> DataFrame:
+    """df with d_b and est_b of the published sketches of a and b: the digests that differ if they peel, else null; and an estimate
+    of how many: in a table of 8 cells the squares of the counts add up to 7/8 of them and 1/8 of the squared sum, on average."""
+    est = f"greatest(1L, bigint(abs(size(a) - size({b}))), bigint((aggregate(_cells, 0L, (s, x) -> s + x.n * x.n) * 8 / 3 - pow(size(a) - size({b}), 2)) / 7))"
+    out = df.withColumn("_cells", subtract("sketch_a", f"sketch_{b}")).withColumn("_peeled", peel("_cells"))
+    found = F.expr("if(_peeled.ok, bigint(size(_peeled.added) + size(_peeled.removed)), null)")
+    return out.withColumn(f"d_{b}", found).withColumn(f"est_{b}", F.expr(est)).drop("_cells", "_peeled", f"sketch_{b}")
 
 
 def _part(keys: str, parts: str) -> str:
     return f"pmod(xxhash64({keys}, 17), {parts})"
 
 
-def larger(left: DataFrame, per_part: float) -> DataFrame:
-    """One larger sketch of each pair of versions: left has row, tag, a, b; returns row, tag, d, a, b with d digests
+def larger(left: DataFrame) -> DataFrame:
+    """One larger sketch of each pair of versions: left has row, tag, parts, a, b; returns row, tag, parts, d, a, b with d digests
     recovered and a, b the digests of parts that didn't peel. The only shuffle deals left by row."""
-    dealt = left.withColumn("parts", F.expr(f"greatest(1L, bigint(pow(2, ceil(log2((size(a) + size(b)) / {per_part}D)))))")).repartition("row")
+    dealt = left.repartition("row")
     items = F.expr("concat(transform(a, x -> named_struct('k', x, 'n', 1L)), transform(b, x -> named_struct('k', x, 'n', -1L)))")
-    keys = dealt.select("row", "tag", "parts", F.explode(items).alias("i")).select("row", "tag", F.expr(_part("i.k", "parts")).alias("part"), "i.k", "i.n")
-    cells = keys.select("row", "tag", "part", "k", "n", F.explode(F.expr(f"array({', '.join(c.format(k='k') for c in _CELLS)})")).alias("c"))
-    cells = cells.groupBy("row", "tag", "part", "c").agg(F.sum("n").alias("n"), F.expr("bit_xor(k)").alias("k"), F.expr("bit_xor(xxhash64(k))").alias("h")).where("n <> 0 or k <> 0")
-    peeled = cells.groupBy("row", "tag", "part").agg(F.collect_list(F.struct("c", "n", "k", "h")).alias("cells")).select("row", "tag", "part", peel("cells").alias("p"))
+    keys = dealt.select("row", "tag", "parts", F.explode(items).alias("i")).select("row", "tag", F.expr(_part("i.k", "parts")).alias("part"), "i")
+    cells = keys.groupBy("row", "tag", "part").agg(F.collect_list("i").alias("items")).select("row", "tag", "part", _tables("items", "x.k", "x.n").alias("cells"))
+    peeled = cells.select("row", "tag", "part", peel("cells").alias("p"))
     got = peeled.groupBy("row", "tag").agg(F.sum(F.expr("if(p.ok, size(p.added) + size(p.removed), 0)")).alias("d"), F.collect_list(F.expr("if(p.ok, null, part)")).alias("failed"))
-    out = dealt.join(got, ["row", "tag"], "left")  # no cell at all: the sets are equal
+    out = dealt.join(got, ["row", "tag"], "left")  # no digest at all: both are empty
     rest = lambda x: F.expr(f"if(size(failed) > 0, filter({x}, k -> array_contains(failed, {_part('k', 'parts')})), array())").alias(x)
-    return out.select("row", "tag", F.coalesce("d", F.lit(0)).cast("long").alias("d"), rest("a"), rest("b"))
-
+    return out.select("row", "tag", "parts", F.coalesce("d", F.lit(0)).cast("long").alias("d"), rest("a"), rest("b"))
 
-def differences(base: DataFrame, retries: int = 3, small: int = 20) -> DataFrame:
-    """row, tag, d: how many digests only one of base's arrays a and e (tag 0) or a and x (tag 1) holds.
 
-    Pairs of at most ``small`` digests are peeled from their published sketches; other pairs can't be, and start with a
-    larger one. What fails is retried larger, failed parts only; what three retries leave is compared directly."""
+def differences(base: DataFrame, retries: int = 3, load: int = 6) -> DataFrame:
+    """row, tag, d, level: digests that only one of base's a and e (tag 0) or a and x (tag 1) holds, as found at each level: 0 by
+    the published sketches, 1 to ``retries`` by larger ones, ``DIRECT`` without a sketch. A pair's d is the sum over its levels."""
     first = None
     for tag, b in enumerate(("e", "x")):
-        cells = F.when(F.expr(f"size(a) + size({b}) <= {small}"), subtract("sketch_a", f"sketch_{b}"))
-        part = base.select("row", F.lit(tag).alias("tag"), "a", F.col(b).alias("b"), cells.alias("cells")).withColumn("p", F.when(F.col("cells").isNotNull(), peel("cells")))
-        part = part.select("row", "tag", F.expr("if(p.ok, bigint(size(p.added) + size(p.removed)), null)").alias("d"), "a", "b")
+        part = base.select("row", F.lit(tag).alias("tag"), "a", F.col(b).alias("b"), F.col(f"d_{b}").alias("d"), F.col(f"est_{b}").alias("est"))
         first = part if first is None else first.unionByName(part)
-    done, left = [first.where("d is not null").select("row", "tag", "d")], first.where("d is null").select("row", "tag", "a", "b")
+    parts = F.expr(f"greatest(2L, bigint(pow(2, ceil(log2(est / {load}D)))))")
+    done, left = [first.where("d is not null").select("row", "tag", "d", F.lit(0).alias("level"))], first.where("d is null").select("row", "tag", parts.alias("parts"), "a", "b")
     for k in range(retries):
-        got = staged(larger(left, 8.0 / 4**k), "peeled")
-        done.append(got.select("row", "tag", "d"))
-        left = got.where("size(a) + size(b) > 0").select("row", "tag", "a", "b")
-    done.append(left.select("row", "tag", F.expr("bigint(size(array_except(a, b)) + size(array_except(b, a)))").alias("d")))
+        got = staged(larger(left), "peeled")
+        done.append(got.select("row", "tag", "d", F.lit(k + 1).alias("level")))
+        left = got.where("size(a) + size(b) > 0").select("row", "tag", (F.col("parts") * 4).alias("parts"), "a", "b")
+    done.append(left.select("row", "tag", F.expr("bigint(size(array_except(a, b)) + size(array_except(b, a)))").alias("d"), F.lit(DIRECT).alias("level")))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -138,13 +142,18 @@ def serialised(cells: str) -> Column:
     return F.expr(f"array_join(transform({cells}, x -> if(x.n = 0 and x.k = 0, '', concat(x.n, ':', hex(x.k), ':', hex(x.h)))), ';')")
 
 
+def compared(docs: DataFrame) -> DataFrame:
+    """Staged, a row per document: row, doc_id, n_chars, edited_sha256, digests a, e, x and what the published sketches say of their differences."""
+    base = first_try(first_try(edited(docs), "e"), "x")
+    base = base.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e", F.size("x").alias("nx"), F.expr("if(d_x is null, x, null)").alias("x"), "d_e", "est_e", "d_x", "est_x")
+    return staged(base.withColumn("row", F.monotonically_increasing_id()), "digests")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
-    base = edited(docs).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("a"), digests("edited").alias("e"), digests("next").alias("x"))
-    base = staged(base.withColumn("row", F.monotonically_increasing_id()), "digests")
-    sketched = base.select("*", sketch("a").alias("sketch_a"), sketch("e").alias("sketch_e"), sketch("x").alias("sketch_x"))
-    near = differences(sketched).groupBy("row").agg(F.sum(F.expr("if(tag = 0, d, 0)")).alias("d_e"), F.sum(F.expr("if(tag = 1, d, 0)")).alias("d_x"))
-    both = base.select("row", "doc_id", "n_chars", "edited_sha256", "a", "e", F.size("x").alias("nx")).join(near, "row")
+    base = compared(docs)
+    near = differences(base).groupBy("row").agg(F.sum(F.expr("if(tag = 0, d, 0)")).alias("d_e"), F.sum(F.expr("if(tag = 1, d, 0)")).alias("d_x"))
+    both = base.select("row", "doc_id", "n_chars", "edited_sha256", "a", "e", "nx").join(near, "row")
     out = both.select("doc_id", "n_chars", "edited_sha256", sketch("a").alias("sa"), sketch("e").alias("se"), F.size("a").alias("na"), F.size("e").alias("ne"), "nx", "d_e", "d_x")
     out = out.select("*", serialised("sa").alias("fingerprint"), serialised("se").alias("edited_fingerprint"))
 
