@@ -7,6 +7,7 @@ the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` at a fraction of
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
@@ -44,7 +45,7 @@ class CachedEncoder:
 
     max_words bounds the cache; when it is full it starts anew, which changes the time and not the ids."""
 
-    def __init__(self, path: str, max_words: int = 900_000):
+    def __init__(self, path: str, max_words: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -116,12 +117,24 @@ _CACHE: dict[str, object] = {}
 def only_cache(name: str, clear=None) -> None:
     """Says that this worker process now works for ``name``: what other operators have cached in it is cleared, so that a
     worker that is used again holds the cache of one operator."""
-    for other in [k for k in _CACHE if k != name]:
+    others = [k for k in _CACHE if k != name]
+    for other in others:
         _CACHE.pop(other)()
+    if others:
+        give_back()
     if clear:
         _CACHE[name] = clear
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can (workers stay and are used again)."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def encoder(path: str) -> CachedEncoder:
     """One encoder for each worker process and vocabulary."""
     only_cache(path, lambda: _ENCODERS.pop(path, None))

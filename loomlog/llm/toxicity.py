@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .tokens import in_slices, only_cache
+from .tokens import give_back, in_slices, only_cache
 
 #: Insults that vote toxic.
 LEXICON = (
@@ -39,7 +39,7 @@ PATTERNS = {
     "address": re.compile(rf"\b(?:you|you're|ur|tu|vous|du|ihr|eres|usted)\b[^.!?\n]{{0,40}}\b(?:{_INSULT})s?\b"),
     "epithet": re.compile(rf"\b(?:what an?|such an?|total|complete|utter|bloody|sale|espèce de|so ein|du|qué)\s+(?:\w+\s+)?(?:{_INSULT})s?\b"),
     "plural": re.compile(rf"\b(?:{_INSULT})(?:s|en|es)\b"),
-    "masked": re.compile(r"\b(?:[1!]d[1!]ot|m0r0n|stup[1!]d|tr[4@]sh|l0ser|cl0wn)s?\b"),
+    "masked": re.compile(r"\b(?:1d[i1]ot|id1ot|m0r0n|stup1d|tr4sh|l0ser|cl0wn)s?\b"),
     "spaced": re.compile(rf"\b(?:{'|'.join('[-_. ]'.join(w) for w in LEXICON[:12])})\b"),
     "twice": re.compile(rf"\b(?:{_INSULT})\b.*\b(?:{_INSULT})\b", re.S),
 }
@@ -55,10 +55,17 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def patterns_of(text: str | None) -> tuple[int, ...]:
-    """Numbers of the patterns that fire."""
-    low = (text or "").lower()
-    return tuple(k for k, p in enumerate(PATTERNS.values()) if p.search(low)) if low else ()
+_FORMS = frozenset(w + end for w in LEXICON for end in ("", "s", "en", "es"))
+_MASKED = frozenset(w + end for w in ("1diot", "1d1ot", "id1ot", "m0r0n", "stup1d", "tr4sh", "l0ser", "cl0wn") for end in ("", "s"))
+
+
+def patterns_of(text: str | None, words: set[str]) -> tuple[int, ...]:
+    """Numbers of the patterns that fire; words (the text's) tell which of them can."""
+    named, masked, letters = not _FORMS.isdisjoint(words), not _MASKED.isdisjoint(words), sum(len(w) == 1 for w in words) > 2
+    if not (named or masked or letters):
+        return ()
+    low, can = text.lower(), {"masked": masked, "spaced": letters}
+    return tuple(k for k, (name, p) in enumerate(PATTERNS.items()) if can.get(name, named) and p.search(low))
 
 
 class LabelModel:
@@ -127,13 +134,20 @@ def induced(docs: list[tuple[frozenset, int]], most: int = 500, least: int = 3,
     expected number of features let in by mistake, over all that ``least`` toxic documents have (Chernoff's bound on the
     toxic part of a feature's documents). A beginning needs three words, and of features found in the same documents only
     the longest beginning stays."""
-    seen, n = (Counter(), Counter()), [0, 0]
+    seen, n = [Counter(), Counter()], [sum(not y for _, y in docs), sum(y for _, y in docs)]
     kinds: dict[str, set] = defaultdict(set)
+
+    def features(words) -> set[str]:
+        return {f"={w}" for w in words} | {f"{w[:k]}*" for w in words for k in _LENGTHS if len(w) > k}
+
+    for words, y in docs:
+        if y:
+            seen[1].update(features(words))
+    tried = {f for f, c in seen[1].items() if c >= least}
+    seen[1] = Counter({f: seen[1][f] for f in tried})
     for words, y in docs:
-        n[y] += 1
-        seen[y].update(f"={w}" for w in words)
-        seen[y].update(f"{h}*" for h in {w[:k] for w in words for k in _LENGTHS if len(w) > k})
-    tried = [f for f, c in seen[1].items() if c >= least]
+        if not y:
+            seen[0].update(tried.intersection(features(words)))
     share, need = n[1] / len(docs), np.log(max(1, len(tried)) / chance)
 
     def surprise(f: str) -> float:
@@ -141,7 +155,7 @@ def induced(docs: list[tuple[frozenset, int]], most: int = 500, least: int = 3,
         part = c / (c + k)
         return 0.0 if part <= share else c * np.log(part / share) + (k * np.log((1 - part) / (1 - share)) if k else 0.0)
 
-    good = {f for f in tried if surprise(f) >= need}
+    good = {f for f in sorted(tried) if surprise(f) >= need}
     if not good:
         return []
     where: dict[str, set] = {f: set() for f in good}
@@ -166,14 +180,14 @@ class Model:
     """Voters and the linear classifier's weights."""
 
     def __init__(self, labelled: list[tuple[set[str], tuple, int]], unlabelled: list[tuple[set[str], tuple]] = (), **how):
-        once = list({(frozenset(w), y): (frozenset(w), p, y) for w, p, y in labelled}.values())
+        once = list({(w, y): (w, p, y) for w, p, y in ((tuple(sorted(w)), p, y) for w, p, y in labelled)}.values())
         toxic = sum(y for *_, y in once)
         both = min(toxic, len(once) - toxic) >= ENOUGH
         mined = induced([(w, y) for w, _, y in once], **how) if both else []
         self.voters = {f: k for k, f in enumerate(dict.fromkeys([*(f"={w}" for w in LEXICON), *mined]))}
         self.size = len(self.voters) + len(PATTERNS)
         self.cache: dict[str, tuple[int, ...]] = {}
-        rows = [(w, p) for w, p, _ in once] + [(frozenset(w), p) for w, p in unlabelled]
+        rows = [(w, p) for w, p, _ in once] + list(unlabelled)
         x = np.array([self.counts(w, p) for w, p in rows], np.float32).reshape(len(rows), self.size)
         self.cache = {}
         if not both:
@@ -187,7 +201,6 @@ class Model:
         post = self.labels.fit(votes[:, used].astype(np.float64), byhand[used])
         self.evidence = np.full(self.size, 1.0)
         self.evidence[used] = np.maximum(0.0, self.labels.evidence)
-        self.posterior = post[: len(once)]
         self._fit(x, post)
 
     def counts(self, words: set[str], patterns: tuple[int, ...]) -> np.ndarray:
@@ -229,7 +242,7 @@ class Model:
         return _logistic(self._columns(counts) @ self.weights)
 
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
-        return self.scores(np.array([self.counts(words_of(t), patterns_of(t)) for t in texts], np.float32).reshape(len(texts), self.size))
+        return self.scores(np.array([self.counts(w, patterns_of(t, w)) for t in texts for w in (words_of(t),)], np.float32).reshape(len(texts), self.size))
 
 
 def held_out(doc_id):
@@ -249,8 +262,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
     def words(batches):
         for batch in batches:
             for a, b, texts in in_slices(batch.column("text")):
-                key = pa.array(["\n".join(sorted(words_of(t))) for t in texts], pa.string())
-                fired = pa.array([list(patterns_of(t)) for t in texts], pa.list_(pa.int32()))
+                sets = [words_of(t) for t in texts]
+                key = pa.array(["\n".join(sorted(w)) for w in sets], pa.string())
+                fired = pa.array([list(patterns_of(t, w)) for t, w in zip(texts, sets, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), key, fired, batch.column("_y").slice(a, b - a)], names=["doc_id", "words", "fired", "y"])
 
     def fit(batches):
@@ -258,13 +272,16 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
         held: dict[str, str] = {}  # one string for each word
         for batch in batches:
             for w, p, y in zip(*(batch.column(k).to_pylist() for k in ("words", "fired", "y")), strict=True):
-                found = {held.setdefault(x, x) for x in w.split("\n")} - {""}
+                found = tuple(held.setdefault(x, x) for x in w.split("\n")) if w else ()
                 if y is None:
                     rest.append((found, tuple(p)))
                 else:
                     labelled.append((found, tuple(p), y))
         model = Model(labelled, rest, **how)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        out = pickle.dumps(model)
+        del labelled, rest, held, model
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["model"])
 
     importable(docs.sparkSession)
     got = rows.select("doc_id", "text", "_y").mapInArrow(words, "doc_id long, words string, fired array<int>, y int")

@@ -45,7 +45,7 @@ def test_induced_lexicon_leaves_chance_alone():
 
 
 def test_patterns():
-    fired = lambda t: {list(toxicity.PATTERNS)[k] for k in toxicity.patterns_of(t)}
+    fired = lambda t: {list(toxicity.PATTERNS)[k] for k in toxicity.patterns_of(t, toxicity.words_of(t))}
     assert fired("You are such an idiot.") >= {"address", "epithet"} and fired("i-d-i-o-t") == {"spaced"} and fired("A m0r0n") == {"masked"}
     assert fired("one idiot and one clown") == {"twice"}
     assert fired("Plain words, without any of it.") == fired("") == fired(None) == set()
