@@ -43,7 +43,7 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _HIDING = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 DEEPEST = 512  # levels of a path
 #: Set by hand: the least value of a main text's path, and the factors of a doubtful name, of an article and of the page as a container.
-LEAST, DOUBTFUL, ARTICLE, WHOLE = 0.3, 0.6, 1.5, 0.3
+LEAST, DOUBTFUL, ARTICLE, WHOLE = 0.2, 0.6, 1.5, 0.3
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")

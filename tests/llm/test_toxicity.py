@@ -39,7 +39,7 @@ def test_label_model_sees_no_label():
 def test_induced_lexicon_leaves_chance_alone():
     rng = np.random.default_rng(6)
     words = [f"w{k:04d}" for k in range(3000)]
-    docs = [(frozenset(rng.choice(words, 60)) | ({f"zzzz{rng.integers(9)}", "bad"} if k % 8 == 0 else frozenset()), int(k % 8 == 0)) for k in range(1600)]
+    docs = [(frozenset(rng.choice(words, 60)) | ({f"zzzz{rng.integers(9)}", *(["bad"] if k % 16 else [])} if k % 8 == 0 else frozenset()), int(k % 8 == 0)) for k in range(1600)]
     found = toxicity.induced([(frozenset(w), y) for w, y in docs])
     assert "=bad" in found and "zzzz*" in found and len([f for f in found if f.startswith("=w")]) <= 3
 
