@@ -83,7 +83,7 @@ LINKS = "".join(f"<li><a href='/{k}'>Entry {k}</a></li>" for k in range(9))
 #: Layouts with [boilerplate] in brackets; four of six have no article.
 LAYOUTS = {
     "article": f"<html><body><nav><ul>{LINKS}</ul></nav><article><h1>Title</h1>{BODY}</article><footer><p>[Imprint]</p></footer></body></html>",
-    "plain sections": f"<html><body><div><center>[Site name]</center><dir>{LINKS}</dir></div><div><h1>Title</h1>{BODY}</div><div><span>[All rights reserved]</span></div></body></html>",
+    "plain sections": f"<html><body><center><p>[Site name]</p><ul>{LINKS}</ul></center><div><h1>Title</h1>{BODY}</div><center><span>[All rights reserved]</span></center></body></html>",
     "named sections": f"<html><body><div class='top-menu'><p>[Home]</p></div><section><h1>Title</h1>{BODY}</section><div class='share-buttons'><p>[Tell others]</p></div></body></html>",
     "table layout": f"<html><body><div><table><thead><tr><th>[Left]</th></tr></thead></table></div><table><tbody><tr><td><div><h1>Title</h1>{BODY}</div></td></tr></tbody></table></body></html>",
     "body alone": f"<html><body><h1>Title</h1>{BODY}</body></html>",
