@@ -8,10 +8,7 @@ from pyspark.sql import SparkSession
 
 from loomlog.plans import catalogue
 
-NAMES = [
-    "quality_score_docs", "redact_docs", "exact_dedup", "recency_topk", "turn_chunks", "vector_topk", "vector_topk_decay", "vector_global_merge", "knn_all_pairs",
-    "sessionize_events", "related_sessions", "session_graph", "error_summary", "episode_content_scores", "forced_split_overlap", "budget_greedy",
-]
+NAMES = list(catalogue.QUERIES)  # every query of the library
 
 if __name__ == "__main__":
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")

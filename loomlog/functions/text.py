@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -28,15 +29,19 @@ NOISE_PHRASES = [
 ]
 
 
+#: The characters that SPACE matches.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def quality_score(text: Column) -> Column:
     """Letters and digits as a part of the stripped text, to three places, ties to even; 0 for a blank text."""
     s = strip(text)
     n = F.length(s)
-    return F.when(n > 0, F.bround(F.length(F.regexp_replace(s, r"[^\p{L}\p{N}]", "")) / n, 3)).otherwise(0.0)
+    return F.when(n > 0, F.bround(F.length(F.regexp_replace(s, r"[^\p{L}\p{N}]+", "")) / n, 3)).otherwise(0.0)
 
 
 def budget_tokens(text: Column) -> Column:
@@ -71,12 +76,44 @@ def redact(text: Column, extra: Sequence[tuple[str, str]] = ()) -> Column:
     for pattern, label in SECRETS:
         text = F.regexp_replace(text, "(?U)" + pattern, f"$1[REDACTED:{label}]$3")
     for pattern, label in extra:
-        before, has_group, after = pattern.partition("(") if "(" in pattern and "(?" not in pattern else (pattern, "", "")
-        shaped = f"({before})({after.partition(')')[0]})({after.partition(')')[2]})" if has_group else f"()({pattern})()"
-        text = F.regexp_replace(text, "(?U)" + shaped, f"$1[REDACTED:{label}]$3")
+        flags, body = re.match(r"((?:\(\?[a-zA-Z]+\))*)(.*)", pattern, re.S).groups()
+        shaped, kept = _around_first_group(body)
+        text = F.regexp_replace(text, "(?U)" + flags + shaped, f"$1[REDACTED:{label}]${kept}")
     return text
 
 
+def _around_first_group(pattern: str) -> tuple[str, int]:
+    """The pattern with groups around what comes before its first capturing group and after it, and the number of the latter; the whole
+    match is the secret if there is none. Brackets that are escaped, in a class or don't capture are no groups."""
+    at, open_, depth, groups, in_class = 0, None, 0, 0, False
+    close, stack = None, []
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+            at += pattern[at + 1 : at + 2] == "^"
+            at += pattern[at + 1 : at + 2] == "]"
+        elif c == "(":
+            captures = pattern[at + 1 : at + 2] != "?" or bool(re.match(r"\?P?<[A-Za-z]", pattern[at + 1 :]))
+            if captures and open_ is None and not stack:
+                open_ = at
+                stack.append("first")
+            else:
+                stack.append("other")
+            groups += captures and close is None
+        elif c == ")" and stack and stack.pop() == "first":
+            close = at
+        at += 1
+    if open_ is None:
+        return f"()({pattern})()", 3
+    return f"({pattern[:open_]}){pattern[open_ : close + 1]}({pattern[close + 1 :]})", groups + 2
+
+
 def strip_noise(text: Column) -> Column:
     text = F.regexp_replace(text, NOISE_CHARACTERS, "")
     text = F.regexp_replace(text, "(?iU)(?:" + "|".join(NOISE_PHRASES) + ")", "")

@@ -26,9 +26,11 @@ def recent(chunks: DataFrame, half_life_days: float = 0.0, now: float | None = N
 
 
 def exact_dedup(chunks: DataFrame) -> DataFrame:
-    """One chunk of each normalised text: the best by (quality_score, ts_end), the first of equals."""
-    w = Window.partitionBy("_key").orderBy(F.desc("quality_score"), F.desc("ts_end"), "chunk_id")
-    return chunks.withColumn("_key", normalised(F.col("text"))).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_key", "_r")
+    """One chunk of each normalised text: the best by (quality_score, ts_end), the first of equals. Texts meet as 256-bit digests,
+    combined before the shuffle, so neither texts nor a group of copies is gathered anywhere; chunk_id names a chunk."""
+    key = F.sha2(normalised(F.col("text")), 256).alias("_key")
+    best = chunks.select(key, "chunk_id", F.struct(-F.col("quality_score"), -F.col("ts_end"), F.col("chunk_id")).alias("_o")).groupBy("_key").agg(F.min_by("chunk_id", "_o").alias("chunk_id"))
+    return chunks.join(best.select("chunk_id"), "chunk_id", "left_semi").select(*chunks.columns)
 
 
 def is_near(m: SequenceMatcher, ratio: float) -> bool:

@@ -34,7 +34,7 @@ def top_k(index: DataFrame, query: Column, k: int, artifact_type: str | None = N
     scored = of_type(index, artifact_type).withColumn("score", dot(unit(F.col("embedding")), unit(query))).drop("embedding")
     best = scored.orderBy(F.desc("score"), "id").limit(k)
     if now is not None and half_life_days > 0:
-        best = best.withColumn("score", boosted(F.col("score"), F.col("artifact_type"), F.col("ts"), half_life_days, now))
+        best = best.withColumn("score", boosted(F.col("score"), F.col("artifact_type"), F.col("ts"), half_life_days, now)).orderBy(F.desc("score"), "id")
     if floor is not None:
         best = best.where(F.col("score") >= floor)
     return best

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_tokens, quality_score, strip
+from ..functions.text import chunk_tokens, quality_score, strip, strip_noise
 
 MAX_CHARS, OVERLAP = 2048, 200
 
@@ -103,3 +103,42 @@ def plan_sections(plans: DataFrame) -> DataFrame:
     text = F.concat(F.lit("[PLAN: "), "slug", F.lit("] "), F.when(F.col("k") == 0, "").otherwise(F.concat(F.lit("## "), strip(head))), F.lit("\n"), body)
     w = Window.partitionBy("slug").orderBy("k")
     return parts.select("slug", (F.row_number().over(w) - 1).alias("index"), F.regexp_replace(text, r"^(\[PLAN: [^\]]*\]) \n", "$1\n").alias("text"))
+
+
+def artifact_chunks(texts: DataFrame) -> DataFrame:
+    """texts (session_id, artifact_type, artifact_id, index, text, ts) as chunks."""
+    ident = F.concat_ws("-", F.col("artifact_type"), F.col("artifact_id"), F.col("index").cast("string"))
+    return texts.select(ident.alias("chunk_id"), "session_id", "index", "text", F.col("ts").alias("ts_start"), F.col("ts").alias("ts_end"), chunk_tokens(F.col("text")).alias("token_estimate"), quality_score(F.col("text")).alias("quality_score"), "artifact_type", "artifact_id")
+
+
+def todo_chunks(todos: DataFrame) -> DataFrame:
+    """todos: session_id, items, mtime. One chunk for each list that has items."""
+    rows = todos.where(F.size("items") > 0).select("session_id", F.lit("todo").alias("artifact_type"), F.col("session_id").alias("artifact_id"), F.lit(0).alias("index"), todo_text().alias("text"), F.col("mtime").alias("ts"))
+    return artifact_chunks(rows)
+
+
+def task_chunks(tasks: DataFrame) -> DataFrame:
+    """tasks: session_id, id, subject, status, description, blocks, blocked_by. The index is the id if it is a number, else 0; no time."""
+    index = F.when(F.col("id").rlike(r"^[0-9]{1,9}$"), F.col("id").cast("int")).otherwise(0)
+    return artifact_chunks(tasks.select("session_id", F.lit("task").alias("artifact_type"), F.concat_ws("-", "session_id", "id").alias("artifact_id"), index.alias("index"), task_text().alias("text"), F.lit(0.0).alias("ts")))
+
+
+def terminal_chunks(events: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of terminal sessions: noise out of each event, segments, the end of the one before in front of each, noise out again
+    where the two have met, blank ones dropped, tokens and quality."""
+    clean = events.where("stream = 'stdout'").withColumn("content", strip_noise(F.col("content")))
+    w = Window.partitionBy("session_id").orderBy("k")
+    seg = segment_events(clean, most).withColumn("before", F.lag("text").over(w))
+    text = strip_noise(F.concat(F.coalesce(F.right("before", F.lit(overlap)), F.lit("")), "text"))
+    rows = seg.select("session_id", "k", text.alias("text"), "ts_start", "ts_end").where(strip(F.col("text")) != "")
+    index = (F.row_number().over(w) - 1).alias("index")
+    return rows.select(F.concat_ws("-", F.col("session_id"), (F.row_number().over(w) - 1).cast("string")).alias("chunk_id"), "session_id", index, "text", "ts_start", "ts_end", chunk_tokens(F.col("text")).alias("token_estimate"), quality_score(F.col("text")).alias("quality_score"))
+
+
+def chunk_sessions(sessions: DataFrame, events: DataFrame, messages: DataFrame) -> DataFrame:
+    """Chunks of sessions (session_id): from the transcript's messages (session_id, turn, role, text) where there is one, else from terminal output."""
+    said = messages.join(sessions.select("session_id"), "session_id", "left_semi")
+    a = chunks_of_turns(turns(said, "session_id"), "session_id").select("chunk_id", "session_id", "index", "text", "token_estimate", "quality_score")
+    rest = sessions.select("session_id").join(said.select("session_id").distinct(), "session_id", "left_anti")
+    b = terminal_chunks(events.join(rest, "session_id", "left_semi"))
+    return a.unionByName(b.select(a.columns))

@@ -48,20 +48,19 @@ def end_of(started: str = "started_at", ended: str = "ended_at") -> Column:
 def related(sessions: DataFrame, gap: float = NEIGHBOUR_SECONDS, bucketed: bool = False) -> DataFrame:
     """(src, dst) of sessions whose nearest end points (start-end, end-start, start-start) are at most gap apart.
 
-    bucketed: three equi-joins on buckets of gap seconds, which scale with the number of neighbours; else a theta join."""
+    bucketed: an equi-join on buckets of gap seconds, which scales with the number of neighbours; else a theta join, for few sessions."""
     a = sessions.select(F.col("session_id").alias("src"), F.col("started_at").alias("s1"), end_of().alias("e1"))
     b = sessions.select(F.col("session_id").alias("dst"), F.col("started_at").alias("s2"), end_of().alias("e2"))
     near = F.least(F.abs(F.col("s1") - F.col("e2")), F.abs(F.col("s2") - F.col("e1")), F.abs(F.col("s1") - F.col("s2"))) <= gap
     if not bucketed:
         return a.join(b, (F.col("src") != F.col("dst")) & near).select("src", "dst")
-    out = None
-    for x, y in (("s1", "e2"), ("e1", "s2"), ("s1", "s2")):
-        left = a.withColumn("k", F.floor(F.col(x) / gap))
-        bucket = F.floor(F.col(y) / gap)
-        right = b.withColumn("k", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-        part = left.join(right, "k").where((F.col("src") != F.col("dst")) & near).select("src", "dst")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    # one join of end points: two rows for each session on the left, on the right in three buckets each; two ends don't count
+    ends = sessions.select("session_id", F.explode(F.array(F.struct(F.lit(True).alias("start"), F.col("started_at").alias("t")), F.struct(F.lit(False).alias("start"), end_of().alias("t")))).alias("p"))
+    bucket = F.floor(F.col("p.t") / gap)
+    left = ends.select(F.col("session_id").alias("src"), F.col("p.start").alias("x"), F.col("p.t").alias("t1"), bucket.alias("k"))
+    right = ends.select(F.col("session_id").alias("dst"), F.col("p.start").alias("y"), F.col("p.t").alias("t2"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"))
+    met = left.join(right, "k").where((F.col("src") != F.col("dst")) & (F.col("x") | F.col("y")) & (F.abs(F.col("t1") - F.col("t2")) <= gap))
+    return met.select("src", "dst").distinct()
 
 
 def content_scores(chunks: DataFrame, key: str = "session_id", text: str = "text") -> DataFrame:
@@ -96,7 +95,13 @@ def errors(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("session_id", ((code != 0) | F.col("lines").isNotNull()).alias("has_error"), F.when(F.size(parts) > 0, F.array_join(F.slice(parts, 1, 3), "; ")).alias("error_summary"))
 
 
-def graph(sessions: DataFrame, chunks: DataFrame, bucketed: bool = False) -> DataFrame:
+def episodes(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """session_id, episode_type, without looking for neighbours."""
+    by_text = content_scores(chunks).select("session_id", F.col("episode").alias("_content"))
+    return sessions.join(by_text, "session_id", "left").select("session_id", episode_of_command(content=F.col("_content")).alias("episode_type"))
+
+
+def graph(sessions: DataFrame, chunks: DataFrame, bucketed: bool = True) -> DataFrame:
     """session_id, episode_type, has_error, error_summary, related_sessions."""
     near = related(sessions, bucketed=bucketed).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("related_sessions")).withColumnRenamed("src", "session_id")
     by_text = content_scores(chunks).select("session_id", F.col("episode").alias("_content"))
@@ -110,13 +115,15 @@ def latest(sessions: DataFrame) -> DataFrame:
 
 def around_failure(sessions: DataFrame, chunks: DataFrame, failed_id, limit: int = 200) -> DataFrame:
     """Chunks of a failed session and its neighbours, newest first."""
-    near = related(sessions).where(F.col("src") == failed_id).select(F.col("dst").alias("session_id"))
+    one = F.broadcast(sessions.where(F.col("session_id") == failed_id).select(F.col("started_at").alias("s1"), end_of().alias("e1")).limit(1))
+    close = F.least(F.abs(F.col("s1") - end_of()), F.abs(F.col("started_at") - F.col("e1")), F.abs(F.col("s1") - F.col("started_at"))) <= NEIGHBOUR_SECONDS
+    near = sessions.join(one, close).where(F.col("session_id") != failed_id).select("session_id")
     ids = near.unionByName(sessions.where(F.col("session_id") == failed_id).select("session_id")).distinct()
     return chunks.join(ids, "session_id", "left_semi").orderBy(F.desc("ts_end"), "chunk_id").limit(limit)
 
 
 def by_episode(sessions: DataFrame, chunks: DataFrame, episode: str, limit: int = 200) -> DataFrame:
-    ids = graph(sessions, chunks).where(F.col("episode_type") == episode).select("session_id")
+    ids = episodes(sessions, chunks).where(F.col("episode_type") == episode).select("session_id")
     return chunks.join(ids, "session_id", "left_semi").orderBy(F.desc("ts_end"), "chunk_id").limit(limit)
 
 

@@ -57,11 +57,11 @@ def sample_for_state(chunks: list[tuple[float, float, str]], budget: int = 8000)
     if sum(len(t) for _, (_, _, t) in rows) + 2 * max(0, len(rows) - 1) <= budget:
         return "\n\n".join(t for _, (_, _, t) in sorted(rows, key=lambda r: r[1][1]))
     anchors = list(dict.fromkeys([min(rows, key=lambda r: r[1][1])[0], max(rows, key=lambda r: r[1][1])[0]]))
-    taken, left = set(anchors), budget - sum(len(chunks[i][2]) + 2 for i in anchors)
+    taken, left = set(anchors), budget - sum(len(chunks[i][2]) for i in anchors) - 2 * (len(anchors) - 1)
     for i, (_, _, text) in sorted((r for r in rows if r[0] not in taken), key=lambda r: (-r[1][0], r[1][1], r[1][2])):
         if left <= 0:
             break
-        if len(text) + 2 <= left + 2:
+        if len(text) <= left:
             taken.add(i)
             left -= len(text) + 2
     return "\n\n".join(chunks[i][2] for i in sorted(taken, key=lambda i: chunks[i][1]))
@@ -79,7 +79,7 @@ def sample_of_all(chunks: DataFrame, budget: int = 8000, least: float = 0.3, bat
     if all_["chars"] + 2 * (all_["rows"] - 1) <= budget:
         return "\n\n".join(r["text"] for r in rows.where(good).select("ts", "chunk_id", "text").orderBy("ts", "chunk_id").collect())
     chosen = [tuple(all_["first"])] + ([] if all_["one"] else [tuple(all_["last"])])
-    anchors, passed, left = list(chosen), [], budget - sum(len(t) + 2 for *_, t in chosen)
+    anchors, passed, left = list(chosen), [], budget - sum(len(t) for *_, t in chosen) - 2 * (len(chosen) - 1)
     while left > 0:
         # what was passed over for its length is too long for good; of the rest the passed ones come first; lengths are tested before the costlier quality
         some = rows.where((F.col("n") <= left) & good).orderBy(F.desc("q"), "ts", "text").offset(sum(n <= left for n in passed)).limit(batch).select("q", "ts", "text").collect()
@@ -115,3 +115,41 @@ def apply_sections(sections: dict[str, list[str]], budget: int, shares: dict[str
 
 def section_costs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", budget_tokens(F.col("content")))
+
+
+def decay_config(config: dict | None) -> tuple[bool, float]:
+    """(enabled, half-life in days) of a configuration; 14 days, and off unless it says otherwise."""
+    given = (config or {}).get("decay") or {}
+    return bool(given.get("enabled", False)), float(given.get("half_life_days", 14.0))
+
+
+def fill_sections(sections: DataFrame, budget: int) -> DataFrame:
+    """sections: pack, name, content, priority, protected, max_tokens (0: no cap). Contents that fit a budget of tokens per pack: a cap always
+    cuts an unprotected section; if the pack is over the budget, its unprotected sections are filled by priority from what the protected
+    ones leave, each cut to what is left. A pack's sections are few, so they are folded as one list."""
+    tokens = lambda x: f"int(length({x}) / 4D * 1.1D)"
+    cut = lambda x, n: f"substring({x}, 1, greatest(0, int({n} * 4 / 1.1D)))"
+    capped = sections.withColumn("content", F.expr(f"if(not protected and max_tokens > 0 and {tokens('content')} > max_tokens, {cut('content', 'max_tokens')}, content)")).withColumn("t", F.expr(tokens("content")))
+    listed = F.array_sort(F.collect_list(F.when(~F.col("protected"), F.struct("priority", "name", "t", "max_tokens"))))
+    per = capped.groupBy("pack").agg(F.sum("t").alias("all"), F.sum(F.when(F.col("protected"), F.col("t")).otherwise(0)).alias("held"), listed.alias("l"))
+    given = F.expr(f"""if(all <= {budget}, null, aggregate(l, named_struct('left', greatest(0L, {budget} - held), 'got', cast(map() as map<string,bigint>)),
+        (s, x) -> named_struct('left', s.left - least(x.t, s.left, if(x.max_tokens > 0, bigint(x.max_tokens), s.left)), 'got', map_concat(s.got, map(x.name, least(x.t, s.left, if(x.max_tokens > 0, bigint(x.max_tokens), s.left))))), s -> s.got))""")
+    out = capped.join(per.select("pack", given.alias("got")), "pack")
+    content = F.expr(f"if(protected or got is null or got[name] >= t, content, {cut('content', 'got[name]')})")
+    return out.select("pack", "name", content.alias("content"), "priority", "protected", "max_tokens")
+
+
+def sources_in_order(chunks: DataFrame) -> DataFrame:
+    """session_id and place of each session, in the order in which their chunks (ts_end, chunk_id) first come."""
+    first = chunks.groupBy("session_id").agg(F.min(F.struct("ts_end", "chunk_id")).alias("first"))
+    return first.orderBy("first", "session_id").select("session_id", "first.ts_end")
+
+
+def generate_state(chunks: DataFrame, chat, now: float, budget: int = 8000) -> dict:
+    """A project state by ``chat(text) -> dict`` (summary, decisions, constraints, tasks) of the sampled chunks, with its sources and time;
+    without a good chunk, an empty state."""
+    good = chunks.where((F.col("quality_score") >= 0.3) & (strip(F.col("text")) != ""))
+    text = sample_of_all(good, budget)
+    empty = {"summary": "", "decisions": [], "constraints": [], "tasks": []}
+    said = chat(text) if text else {}
+    return empty | {k: v for k, v in said.items() if k in empty} | {"updated_at": now, "source_sessions": [r["session_id"] for r in sources_in_order(good).collect()]}

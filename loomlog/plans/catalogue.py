@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import retrieve, search, segment, sessions
+from ..operators import index, retrieve, search, segment, sessions
 from ..session import importable
-from ..sources import store
+from ..sources import files, store
 from . import budget, pack
 
 NOW = 1_706_745_600.0  # the end of the events table's month
@@ -66,7 +66,16 @@ def redact_docs(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
 
 
-@query()
+def _noise_sql(column: str) -> str:
+    out = f"regexp_replace({column}, '\\r\\n?', chr(10), 'g')"
+    out = f"regexp_replace({out}, '{T.NOISE_CHARACTERS}', '', 'g')"
+    said = "|".join(T.NOISE_PHRASES).replace(r"\s", SPACE).replace(r"\w", r"[\p{L}\p{N}_]")
+    out = f"regexp_replace({out}, '(?:{said})', '', 'gi')"
+    out = f"regexp_replace({out}, '[\\t\\x0B\\f\\r\\x1C-\\x1F\\x{{85}}\\p{{Z}}]{{3,}}', ' ', 'g')"
+    return f"regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT doc_id, {_noise_sql('text')} AS cleaned FROM documents")
 def strip_noise_docs(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.strip_noise(T.unix_newlines(F.col("text"))).alias("cleaned"))
 
@@ -295,9 +304,9 @@ def budget_prefix(spark, d):
     return budget.fitting_prefix(top, [F.desc("ts_end"), F.col("chunk_id")], 6000, T.budget_tokens(F.col("text"))).select("chunk_id", F.col("used").cast("long"))
 
 
-@query()
+@query("WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders), walk AS (SELECT o_custkey, CAST(0 AS BIGINT) AS k, CAST(300000 AS BIGINT) AS room, 0 AS n FROM o WHERE k = 1 UNION ALL SELECT o.o_custkey, o.k, w.room - CASE WHEN CAST(trunc(o_totalprice) AS BIGINT) <= w.room THEN CAST(trunc(o_totalprice) AS BIGINT) ELSE 0 END, w.n + CASE WHEN CAST(trunc(o_totalprice) AS BIGINT) <= w.room THEN 1 ELSE 0 END FROM walk w JOIN o ON o.o_custkey = w.o_custkey AND o.k = w.k + 1) SELECT o_custkey, CAST(arg_max(n, k) AS INTEGER) AS n FROM walk GROUP BY o_custkey")
 def budget_greedy(spark, d):
-    docs = _t(spark, d, "orders").where("o_orderdate < '2100-01-01'")
+    docs = _t(spark, d, "orders")
     return budget.greedy_fit(docs, "o_custkey", F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderkey"), 300_000).select("o_custkey", F.size("ids").alias("n"))
 
 
@@ -330,7 +339,7 @@ def render_excerpts_xml(spark, d):
     return pack.excerpts_xml(_top(spark, d))
 
 
-@query()
+@query(f"SELECT chunk_id, CAST(json_object('session_id', session_id, 'text', text) AS VARCHAR) AS fragment FROM {TOP}")
 def render_excerpts_json(spark, d):
     return pack.excerpts_json(_top(spark, d))
 
@@ -373,3 +382,49 @@ def json_props(spark, d):
 def latest_per_user(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
     return _t(spark, d, "events").select("event_id", F.when(F.row_number().over(w) <= 3, "recent").otherwise("old").alias("age"))
+
+
+ITEMS = "(SELECT CASE WHEN event_id % 2 = 0 THEN 'todo' ELSE 'task' END AS kind, 'u' || user_id AS session_id, epoch_us(ts) / 1e6 AS mtime, event_id AS n, CASE WHEN event_type = 'error' THEN 'pending' WHEN event_id % 7 = 0 THEN 'in_progress' ELSE 'completed' END AS status, CASE WHEN event_id % 5 = 0 THEN 'high' WHEN event_id % 5 = 1 THEN 'low' WHEN event_id % 5 = 2 THEN 'other' ELSE 'medium' END AS priority FROM events)"
+
+
+@query(f"SELECT kind, n, CAST(row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, kind DESC, place, n) AS INTEGER) AS rank FROM {ITEMS} i JOIN (SELECT kind, session_id, row_number() OVER (PARTITION BY kind ORDER BY max(mtime) DESC, session_id) AS place FROM {ITEMS} WHERE status <> 'completed' GROUP BY kind, session_id) s USING (kind, session_id) WHERE place <= 5 AND status <> 'completed'")
+def active_items(spark, d):
+    """Events as todo and task items of users as sessions."""
+    e, i = _t(spark, d, "events"), F.col("event_id")
+    status = F.when(F.col("event_type") == "error", "pending").when(i % 7 == 0, "in_progress").otherwise("completed")
+    priority = F.when(i % 5 == 0, "high").when(i % 5 == 1, "low").when(i % 5 == 2, "other").otherwise("medium")
+    items = e.select(F.when(i % 2 == 0, "todo").otherwise("task").alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("mtime"), i.alias("n"), status.alias("status"), priority.alias("priority"))
+    out = files.active_items(items)
+    rank = F.row_number().over(Window.orderBy(F.when(F.col("priority") == "high", 0).when(F.col("priority") == "low", 2).otherwise(1), F.desc("kind"), "place", "n"))  # the items of ten sessions
+    return out.select("kind", "n", rank.alias("rank"))
+
+
+@query("SELECT d.doc_id AS external_id, 's' || l.doc_id AS session_id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN d.n_chars IS DISTINCT FROM CASE WHEN l.quality = 1 THEN d.n_chars ELSE 0 END THEN 'grown' ELSE 'same' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)")
+def import_plan(spark, d):
+    """Documents as external sessions; labelled ones are known, with the size they have if their quality is 1."""
+    docs, labels = _t(spark, d, "documents").select("doc_id", "n_chars"), _t(spark, d, "labels")
+    known = labels.join(docs, "doc_id").select(F.col("doc_id").alias("external_id"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("session_id"), F.when(F.col("quality") == 1, F.col("n_chars")).otherwise(0).alias("size"))
+    return files.changed(docs.select(F.col("doc_id").alias("external_id"), F.col("n_chars").alias("size")), known).select("external_id", "session_id", "action")
+
+
+@query("SELECT count(CASE WHEN kind = 'session' AND fresh THEN 1 END) AS imported, count(CASE WHEN kind = 'session' AND NOT fresh THEN 1 END) AS skipped, count(CASE WHEN kind = 'plan' AND fresh THEN 1 END) AS plans, count(CASE WHEN kind = 'todo' AND fresh THEN 1 END) AS todos, count(CASE WHEN kind = 'task' AND fresh THEN 1 END) AS tasks FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'session' WHEN 1 THEN 'plan' WHEN 2 THEN 'todo' ELSE 'task' END AS kind, doc_id NOT IN (SELECT doc_id FROM labels) AS fresh FROM documents)")
+def import_counts(spark, d):
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
+    kind = F.element_at(F.array(*map(F.lit, ("session", "plan", "todo", "task"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return files.import_counts(docs.join(labels, "doc_id", "left").select(kind.alias("kind"), F.when(F.col("known"), "same").otherwise("new").alias("action")))
+
+
+@query(f"SELECT session_id, min(ts_end) AS ts_end FROM {CHUNKS} WHERE quality_score >= 0.3 AND trim(text) <> '' GROUP BY session_id")
+def state_sources(spark, d):
+    return budget.sources_in_order(_chunks(spark, d).where("quality_score >= 0.3 and trim(text) <> ''"))
+
+
+@query("SELECT pack, name, CASE WHEN protected OR total <= 150 OR got >= t THEN content ELSE substr(content, 1, CAST(floor(got * 4 / 1.1) AS BIGINT)) END AS content FROM (SELECT *, least(t, greatest(0, greatest(0, 150 - held) - coalesce(before, 0))) AS got FROM (SELECT *, sum(t) OVER (PARTITION BY pack) AS total, sum(CASE WHEN protected THEN t ELSE 0 END) OVER (PARTITION BY pack) AS held, sum(CASE WHEN protected THEN 0 ELSE t END) OVER (PARTITION BY pack ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT conv_id AS pack, 't' || turn AS name, turn, text AS content, role = 'system' AS protected, CAST(floor(length(text) / 4 * 1.1) AS BIGINT) AS t FROM conversations)))")
+def section_budget(spark, d):
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("pack"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("name"), F.col("text").alias("content"), F.col("turn").alias("priority"), (F.col("role") == "system").alias("protected"), F.lit(0).alias("max_tokens"))
+    return budget.fill_sections(rows, 150).select("pack", "name", "content")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(replace(text, chr(10), ' '), 1, 200) || '...' ELSE replace(text, chr(10), ' ') END AS snippet FROM documents")
+def snippets(spark, d):
+    return _t(spark, d, "documents").select("doc_id", index.snippet(F.col("text")).alias("snippet"))

@@ -31,7 +31,7 @@ FRAGMENTS = {"xml": excerpts_xml, "json": excerpts_json, "md": excerpts_markdown
 
 
 def infer_mode(sessions_df: DataFrame, chunks: DataFrame) -> str:
-    row = sessions.graph(sessions_df, chunks).join(sessions.latest(sessions_df).select("session_id"), "session_id").select("episode_type").first()
+    row = sessions.episodes(sessions_df, chunks).join(sessions.latest(sessions_df).select("session_id"), "session_id").select("episode_type").first()
     return budgets.MODES.get(row[0], "auto") if row else "auto"
 
 
@@ -65,9 +65,14 @@ def build(sessions_df: DataFrame, chunks: DataFrame, state: dict, budget: int =
             "ACTIVE_TASKS": list(active_items) or [f"<TASK id=\"{esc(t.get('id', ''))}\" status=\"{esc(t.get('status', ''))}\"/>" for t in state.get("tasks", [])],
             "PLANS": list(plans), "RECENT_CONTEXT_EXCERPTS": texts, "INSTRUCTIONS": ["Use this context to continue the work."],
         }
-        parts = budgets.apply_sections(parts, budget, budgets.profile(mode, overrides))
-        body = [f"  <{k}>\n" + "\n".join(v) + f"\n  </{k}>" if v else f"  <{k}/>" for k, v in parts.items() if v or k != "PLANS"]
-        return f'<{root} version="1.0">\n' + "\n".join(body) + f"\n</{root}>"
+        def document(parts: dict[str, list[str]]) -> str:
+            body = [f"  <{k}>\n" + "\n".join(v) + f"\n  </{k}>" if v else f"  <{k}/>" for k, v in parts.items() if v or k != "PLANS"]
+            return f'<{root} version="1.0">\n' + "\n".join(body) + f"\n</{root}>"
+
+        if tokens(document(parts)) > budget:
+            frame = tokens(document({k: [] for k in parts})) + len(parts)  # tags, and what rounding each section may lose
+            parts = budgets.apply_sections(parts, budget - frame, budgets.profile(mode, overrides))
+        return document(parts)
     while True:
         if fmt == "json":
             out = json.dumps({"generated_at": stamp, "state": state, "active_items": list(active_items), "plans": list(plans), "excerpts": [json.loads(t) for t in texts]}, ensure_ascii=False)
