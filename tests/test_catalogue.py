@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from loomlog.plans import catalogue
+from loomlog.plans import catalogue, pack
 
 DATA = "/root/testdata/sf0.001"
 
@@ -30,7 +30,7 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql():
-    """The others have tests of their own: near_dedup_topn and state_sample in test_retrieval, the two below here."""
+    """The others have tests of their own: near_dedup_topn and state_sample in test_retrieval, the others below."""
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == {"near_dedup_topn", "state_sample", "turn_chunks", "context_pack"}
 
 
@@ -61,7 +61,11 @@ def test_turn_chunks(spark, duck):
     assert got == want
 
 
-def test_context_pack_keeps_its_budget(spark):
-    pack = catalogue.context_pack(spark, DATA).first()["pack"]
-    assert int(len(pack) / 4 * 1.1) <= 2000 and pack.startswith("<SESSION_CONTEXT") and pack.count("<EXCERPT ") > 5
-    assert all(f"<{k}" in pack for k in ("PROJECT_STATE", "DECISIONS", "CONSTRAINTS", "ACTIVE_TASKS", "RECENT_CONTEXT_EXCERPTS", "INSTRUCTIONS"))
+@pytest.mark.parametrize("tokens", [150, 400, 1409, 9000])
+def test_context_pack_keeps_its_budget(spark, tokens):
+    meta = spark.createDataFrame([("s1", ["make"], 100.0, 200.0, 1)], "session_id string, command array<string>, started_at double, ended_at double, exit_code int")
+    chunks = spark.createDataFrame([(f"c{k:02d}", "s1", k, f"{k} " + "word & more " * 12, float(k), float(k), 0.9) for k in range(40)], "chunk_id string, session_id string, index int, text string, ts_start double, ts_end double, quality_score double")
+    text = pack.build(meta, chunks, {"summary": "S", "decisions": [{"id": "d", "statement": "x" * 80}], "constraints": ["c"]}, budget=tokens, mode="debug", now=300.0)
+    n = text.count("<EXCERPT ")
+    assert int(len(text) / 4 * 1.1) <= tokens and (n == 40 if tokens == 9000 else n < 40) and (n > 5 or tokens < 1000)
+    assert all(f"<{k}" in text for k in ("PROJECT_STATE", "DECISIONS", "CONSTRAINTS", "ACTIVE_TASKS", "RECENT_CONTEXT_EXCERPTS", "INSTRUCTIONS"))
