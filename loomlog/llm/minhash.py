@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import connected_components, hot_keys, spread_join, staged, unstage
 from .shingles import mix, shingle_hashes
-from .tokens import in_slices, only_cache
+from .tokens import in_slices, only_cache, tidy
 
 #: Estimates this far below the threshold are still confirmed: over four standard deviations at 192 minima.
 SLACK = 0.16
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, words: int, minima: Minima) -> DataFrame:
                     names=["doc_id", "text_hash", "n_shingles", "digest", "sig", "bands"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(tidy(sign, shingles.forget), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -105,7 +105,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
             for a, b, some in in_slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in shingle_hashes(some, words)], pa.binary())], names=["id", "hashes"])
 
-    return texts.select("id", "text").mapInArrow(sets, "id long, hashes binary")
+    return texts.select("id", "text").mapInArrow(tidy(sets, shingles.forget), "id long, hashes binary")
 
 
 def paired(pairs: DataFrame, sides: DataFrame, column: str) -> DataFrame:
@@ -198,7 +198,7 @@ def forests(members: DataFrame, minima: Minima, threshold: float, block: int = 1
 
     sizes = members.groupBy("key").agg(F.count("*").alias("m"))
     dealt = in_blocks(members.join(sizes, "key"), "key", F.ceil(F.col("m") / block), ["id", "comp", "sig"])
-    return dealt.mapInArrow(grow, "src long, dst long").distinct()
+    return dealt.mapInArrow(tidy(grow), "src long, dst long").distinct()
 
 
 def cluster_links(nodes: DataFrame, minima: Minima, threshold: float, percent: int, block: int = 512, block_bytes: int = 16 << 20) -> DataFrame:
@@ -237,7 +237,7 @@ def cluster_links(nodes: DataFrame, minima: Minima, threshold: float, percent: i
     sizes = nodes.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.length("hashes")).alias("held"))
     cuts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("held") / block_bytes))
     dealt = in_blocks(nodes.join(sizes, "cluster"), "cluster", cuts, ["id", "comp", "sig", "hashes"])
-    return dealt.mapInArrow(link, "src long, dst long")
+    return dealt.mapInArrow(tidy(link), "src long, dst long")
 
 
 def _classes(own: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import importable
-from .tokens import in_slices
+from .tokens import in_slices, only_cache, tidy
 
 #: Kinds in their listed order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -34,6 +34,7 @@ _ENCODINGS: dict = {}
 
 
 def _encoding(path: str):
+    only_cache(f"secrets {path}", lambda: _ENCODINGS.pop(path, None))
     if path not in _ENCODINGS:
         import public_tokenizers
         import tiktoken
@@ -81,7 +82,7 @@ def scan(docs: DataFrame, vocabulary: str, ratio: float = 2.4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([joined(x) for x in spans], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
     importable(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(find), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, vocabulary: str, ratio: float = 2.4, mark: str = "[SECRET]") -> DataFrame:
@@ -105,4 +106,4 @@ def redacted(docs: DataFrame, vocabulary: str, ratio: float = 2.4, mark: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else part.column(k) for k in range(part.num_columns)], names=names)
 
     importable(docs.sparkSession)
-    return docs.mapInArrow(hide, docs.schema)
+    return docs.mapInArrow(tidy(hide), docs.schema)

@@ -29,8 +29,8 @@ def _powers(kind: str, n: int) -> np.ndarray:
     if len(have) < n:
         step = _BASE if kind == "base" else _INVERSE
         with np.errstate(over="ignore"):
-            have = np.concatenate([[_U(1)], np.cumprod(np.full(max(n, 4_000_000), step))])
-        if n <= 8_000_000:
+            have = np.concatenate([[_U(1)], np.cumprod(np.full(max(n, 1_500_000), step))])
+        if n <= 3_000_000:
             _POWERS[kind] = have
     return have[:n]
 

@@ -127,14 +127,30 @@ def only_cache(name: str, clear=None) -> None:
 
 
 def give_back() -> None:
-    """Returns freed memory to the system, where the C library can (workers stay and are used again)."""
+    """Returns freed memory to the system, where Arrow and the C library can (workers stay and are used again)."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass
 
 
+def tidy(work, clear=None):
+    """``work`` for mapInArrow; when its rows are out, ``clear`` is called and freed memory goes back to the system, since a worker
+    waits with what it holds while others need the executor's memory."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            if clear:
+                clear()
+            give_back()
+
+    return run
+
+
 def encoder(path: str) -> CachedEncoder:
     """One encoder for each worker process and vocabulary."""
     only_cache(path, lambda: _ENCODERS.pop(path, None))
@@ -143,7 +159,7 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def in_slices(column: pa.Array, size: int = 3_000_000):
+def in_slices(column: pa.Array, size: int = 1_000_000):
     """(first, last, texts) of runs of a string column with about size bytes, so that memory follows the run and not the batch."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     first = 0

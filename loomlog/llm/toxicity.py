@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .tokens import give_back, in_slices, only_cache
+from .tokens import in_slices, only_cache, tidy
 
 #: Insults that vote toxic.
 LEXICON = (
@@ -260,6 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most the three bounds' rows are broadcast
 
     def words(batches):
+        only_cache("toxicity sample")
         for batch in batches:
             for a, b, texts in in_slices(batch.column("text")):
                 sets = [words_of(t) for t in texts]
@@ -268,6 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), key, fired, batch.column("_y").slice(a, b - a)], names=["doc_id", "words", "fired", "y"])
 
     def fit(batches):
+        only_cache("toxicity sample")
         labelled, rest = [], []
         held: dict[str, str] = {}  # one string for each word
         for batch in batches:
@@ -278,15 +280,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
                 else:
                     labelled.append((found, tuple(p), y))
         model = Model(labelled, rest, **how)
-        out = pickle.dumps(model)
-        del labelled, rest, held, model
-        give_back()
-        yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     importable(docs.sparkSession)
-    got = rows.select("doc_id", "text", "_y").mapInArrow(words, "doc_id long, words string, fired array<int>, y int")
+    got = rows.select("doc_id", "text", "_y").mapInArrow(tidy(words), "doc_id long, words string, fired array<int>, y int")
     got = got.groupBy("doc_id", "y").agg(F.min_by(F.struct("words", "fired"), F.xxhash64("words")).alias("v")).select("doc_id", "v.words", "v.fired", "y")
-    fitted = got.repartition(1).sortWithinPartitions("doc_id").mapInArrow(fit, "model binary").collect()
+    fitted = got.repartition(1).sortWithinPartitions("doc_id").mapInArrow(tidy(fit), "model binary").collect()
     return pickle.loads(fitted[0][0]) if fitted else Model([])
 
 
@@ -300,7 +299,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.of_texts(texts))], names=["doc_id", "score"])
 
     importable(docs.sparkSession)
-    out = docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, score double")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(rate, model.cache.clear), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -314,4 +313,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 yield batch.slice(a, b - a).filter(pa.array(model.of_texts(texts) < 0.5))
 
     importable(docs.sparkSession)
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep, model.cache.clear), docs.schema)
