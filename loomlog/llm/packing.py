@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .tokens import encoder, in_slices
+from .tokens import encoder, in_slices, tidy
 
 
 def reduce_instance(count: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -174,7 +174,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids:
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     arrow = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
     end = np.uint32(end_id)
-    return docs.select("doc_id", "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def place(pieces: DataFrame, capacity: int, lane_rows: int = 20_000) -> DataFrame:
