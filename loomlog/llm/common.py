@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -56,6 +57,13 @@ def unstage(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has shuffle files that nothing refers to any more deleted: Spark's cleaner learns of them only when Python's and then the
+    driver's garbage is collected, which may be long after they could go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 PARTS = 2000  # a key with more than one in so many rows is hot; so there are fewer hot keys than this
 
 

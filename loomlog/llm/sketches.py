@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, sweep
 
 #: A piece of text, and the cells of a digest k in the three tables.
 PIECE = r"(?s)[^\n]{1,99}(?: |\n|$)|[^\n]{1,99}|\n"
@@ -34,30 +34,38 @@ def digests(text: str) -> Column:
     return F.expr(f"array_distinct(transform(regexp_extract_all({text}, r'{PIECE}', 0), x -> xxhash64(x)))")
 
 
-def _tables(items: str, key: str, count: str) -> Column:
-    """24 cells (c, n, k, h) of an array, table by table."""
-    one = "transform(sequence({t}L, {t}L + 7L), c -> aggregate(filter({items}, x -> {cell} = c), named_struct('c', c, 'n', 0L, 'k', 0L, 'h', 0L), (s, x) -> named_struct('c', s.c, 'n', s.n + {count}, 'k', s.k ^ {key}, 'h', s.h ^ xxhash64({key}))))"
-    return F.expr("concat(" + ", ".join(one.format(t=8 * t, items=items, cell=c.format(k=key), key=key, count=count) for t, c in enumerate(_CELLS)) + ")")
+def sketch(keys: str) -> Column:
+    """The sketch of an array of digests: 24 cells (c, n, k, h), table by table; c is the bit of the cell's number."""
+    one = "transform(array(filter({keys}, x -> {cell} = {c}L)), m -> named_struct('c', {bit}L, 'n', bigint(size(m)), 'k', aggregate(m, 0L, (s, x) -> s ^ x), 'h', aggregate(m, 0L, (s, x) -> s ^ xxhash64(x))))"
+    return F.expr("concat(" + ", ".join(one.format(keys=keys, c=c, bit=1 << c, cell=_CELLS[c // 8].format(k="x")) for c in range(24)) + ")")
 
 
-def sketch(keys: str) -> Column:
-    """The sketch of an array of digests."""
-    return _tables(keys, "x", "1L")
+def sketches(keys: DataFrame, *by: str) -> DataFrame:
+    """by, cells: the sketch, without empty cells, of each group's digests k, each counted n times. The 72 numbers are plain
+    columns, so that the sums are compiled: functions of arrays are interpreted digest by digest."""
+    at = keys.select(*by, "n", "k", F.xxhash64("k").alias("h"), *[F.expr(cell.format(k="k")).alias(f"c{t}") for t, cell in enumerate(_CELLS)])
+    sums = [F.expr(f"{f}(if(c{c // 8} = {c}L, {x}, 0L))").alias(f"{x}{c}") for c in range(24) for x, f in (("n", "sum"), ("k", "bit_xor"), ("h", "bit_xor"))]
+    cells = ", ".join(f"named_struct('c', {1 << c}L, 'n', n{c}, 'k', k{c}, 'h', h{c})" for c in range(24))
+    return at.groupBy(*by).agg(*sums).select(*by, F.expr(f"filter(array({cells}), x -> x.n <> 0 or x.k <> 0)").alias("cells"))
 
 
 def subtract(a: str, b: str) -> Column:
     return F.expr(f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c, 'n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))")
 
 
-def peel(cells: str, steps: int = 20) -> Column:
-    """(ok, added, removed) after peeling an array of cells: it has worked (ok) if no cell is left."""
-    hit = " or ".join(f"x.c = {c.format(k='q.k')}" for c in _CELLS)
+def peel(cells: str, rounds: int = 6) -> Column:
+    """(ok, found) after peeling an array of cells: it has worked (ok) if no cell is left; found are the digests k, with n = 1 if
+    added and -1 if removed, their hashes h and the bits c of their cells. A step takes out all digests that are alone in a cell
+    of one table, where no two are the same; a round is a step of each table, and a round without any is the last."""
+    tables = ", ".join(f"{255 << 8 * t}L" for t in range(3))
+    bits = " | ".join(f"shiftleft(1L, int({cell.format(k='x.k')}))" for cell in _CELLS)
+    alone = f"transform(filter(s.cells, x -> abs(x.n) = 1 and x.c & t <> 0 and x.h = xxhash64(x.k)), x -> named_struct('n', x.n, 'k', x.k, 'h', x.h, 'c', {bits}))"
+    without = "aggregate(q, x, (y, z) -> if(z.c & y.c <> 0, named_struct('c', y.c, 'n', y.n - z.n, 'k', y.k ^ z.k, 'h', y.h ^ z.h), y))"
+    some = f"named_struct('cells', filter(transform(s.cells, x -> {without}), x -> x.n <> 0 or x.k <> 0), 'found', concat(s.found, q), 'idle', 0)"
+    step = f"transform(array({alone}), q -> if(size(q) > 0, {some}, named_struct('cells', s.cells, 'found', s.found, 'idle', s.idle + 1)))[0]"
     return F.expr(
-        f"""aggregate(sequence(1, {steps}), named_struct('cells', filter({cells}, x -> x.n <> 0 or x.k <> 0), 'added', cast(array() as array<bigint>), 'removed', cast(array() as array<bigint>)),
-            (s, i) -> coalesce(get(transform(slice(filter(s.cells, x -> abs(x.n) = 1 and x.h = xxhash64(x.k)), 1, 1), q -> named_struct(
-                'cells', filter(transform(s.cells, x -> if({hit}, named_struct('c', x.c, 'n', x.n - q.n, 'k', x.k ^ q.k, 'h', x.h ^ q.h), x)), x -> x.n <> 0 or x.k <> 0),
-                'added', if(q.n = 1, concat(s.added, array(q.k)), s.added), 'removed', if(q.n = 1, s.removed, concat(s.removed, array(q.k))))), 0), s),
-            s -> named_struct('ok', size(s.cells) = 0, 'added', s.added, 'removed', s.removed))"""
+        f"""aggregate(flatten(array_repeat(array({tables}), {rounds})), named_struct('cells', filter({cells}, x -> x.n <> 0 or x.k <> 0), 'found', cast(array() as array<struct<n: bigint, k: bigint, h: bigint, c: bigint>>), 'idle', 0),
+            (s, t) -> if(size(s.cells) = 0 or s.idle = 3, s, {step}), s -> named_struct('ok', size(s.cells) = 0, 'found', s.found))"""
     )
 
 
@@ -96,7 +104,7 @@ def first_try(df: DataFrame, b: str) -> DataFrame:
     of how many: in a table of 8 cells the squares of the counts add up to 7/8 of them and 1/8 of the squared sum, on average."""
     est = f"greatest(1L, bigint(abs(size(a) - size({b}))), bigint((aggregate(_cells, 0L, (s, x) -> s + x.n * x.n) * 8 / 3 - pow(size(a) - size({b}), 2)) / 7))"
     out = df.withColumn("_cells", subtract("sketch_a", f"sketch_{b}")).withColumn("_peeled", peel("_cells"))
-    found = F.expr("if(_peeled.ok, bigint(size(_peeled.added) + size(_peeled.removed)), null)")
+    found = F.expr("if(_peeled.ok, bigint(size(_peeled.found)), null)")
     return out.withColumn(f"d_{b}", found).withColumn(f"est_{b}", F.expr(est)).drop("_cells", "_peeled", f"sketch_{b}")
 
 
@@ -108,11 +116,10 @@ def larger(left: DataFrame) -> DataFrame:
     """One larger sketch of each pair of versions: left has row, tag, parts, a, b; returns row, tag, parts, d, a, b with d digests
     recovered and a, b the digests of parts that didn't peel. The only shuffle deals left by row."""
     dealt = left.repartition("row")
-    items = F.expr("concat(transform(a, x -> named_struct('k', x, 'n', 1L)), transform(b, x -> named_struct('k', x, 'n', -1L)))")
-    keys = dealt.select("row", "tag", "parts", F.explode(items).alias("i")).select("row", "tag", F.expr(_part("i.k", "parts")).alias("part"), "i")
-    cells = keys.groupBy("row", "tag", "part").agg(F.collect_list("i").alias("items")).select("row", "tag", "part", _tables("items", "x.k", "x.n").alias("cells"))
-    peeled = cells.select("row", "tag", "part", peel("cells").alias("p"))
-    got = peeled.groupBy("row", "tag").agg(F.sum(F.expr("if(p.ok, size(p.added) + size(p.removed), 0)")).alias("d"), F.collect_list(F.expr("if(p.ok, null, part)")).alias("failed"))
+    keys = dealt.select("row", "tag", "parts", F.size("a").alias("na"), F.posexplode(F.concat("a", "b")).alias("i", "k"))
+    keys = keys.select("row", "tag", F.expr(_part("k", "parts")).alias("part"), "k", F.expr("if(i < na, 1L, -1L)").alias("n"))
+    peeled = sketches(keys, "row", "tag", "part").select("row", "tag", "part", peel("cells").alias("p"))
+    got = peeled.groupBy("row", "tag").agg(F.sum(F.expr("if(p.ok, size(p.found), 0)")).alias("d"), F.collect_list(F.expr("if(p.ok, null, part)")).alias("failed"))
     out = dealt.join(got, ["row", "tag"], "left")  # no digest at all: both are empty
     rest = lambda x: F.expr(f"if(size(failed) > 0, filter({x}, k -> array_contains(failed, {_part('k', 'parts')})), array())").alias(x)
     return out.select("row", "tag", "parts", F.coalesce("d", F.lit(0)).cast("long").alias("d"), rest("a"), rest("b"))
@@ -129,6 +136,7 @@ def differences(base: DataFrame, retries: int = 3, load: int = 6) -> DataFrame:
     done, left = [first.where("d is not null").select("row", "tag", "d", F.lit(0).alias("level"))], first.where("d is null").select("row", "tag", parts.alias("parts"), "a", "b")
     for k in range(retries):
         got = staged(larger(left), "peeled")
+        sweep(base.sparkSession)
         done.append(got.select("row", "tag", "d", F.lit(k + 1).alias("level")))
         left = got.where("size(a) + size(b) > 0").select("row", "tag", (F.col("parts") * 4).alias("parts"), "a", "b")
     done.append(left.select("row", "tag", F.expr("bigint(size(array_except(a, b)) + size(array_except(b, a)))").alias("d"), F.lit(DIRECT).alias("level")))
@@ -152,6 +160,7 @@ def compared(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     base = compared(docs)
+    sweep(docs.sparkSession)  # the shuffled texts
     near = differences(base).groupBy("row").agg(F.sum(F.expr("if(tag = 0, d, 0)")).alias("d_e"), F.sum(F.expr("if(tag = 1, d, 0)")).alias("d_x"))
     both = base.select("row", "doc_id", "n_chars", "edited_sha256", "a", "e", "nx").join(near, "row")
     out = both.select("doc_id", "n_chars", "edited_sha256", sketch("a").alias("sa"), sketch("e").alias("se"), F.size("a").alias("na"), F.size("e").alias("ne"), "nx", "d_e", "d_x")

@@ -196,3 +196,22 @@ def test_stages(spark, docs, labels, name, tmp_path):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert got.columns == plain.columns
         assert (got.count() > 0) == (rows is plain)
+
+
+def test_sketches_are_sums_and_steps_take_all(spark):
+    """Larger sketches are compiled sums of digests, equal to subtracted published ones; a round of peeling takes every digest that is alone."""
+    rows = [(1, [11, 12, 13, -14, 15], [11, 12, 99]), (2, [7], [7]), (3, [], [-5, 1 << 62])]
+    pairs = spark.createDataFrame(rows, "row long, a array<long>, b array<long>")
+    keys = pairs.selectExpr("row", "explode(a) k", "1L n").unionByName(pairs.selectExpr("row", "explode(b) k", "-1L n"))
+    summed = {r["row"]: r["cells"] for r in sketches.sketches(keys, "row").collect()}
+    both = pairs.select("row", sketches.sketch("a").alias("sa"), sketches.sketch("b").alias("sb")).select("row", sketches.subtract("sa", "sb").alias("cells"))
+    for r in both.collect():
+        assert summed[r["row"]] == [c for c in r["cells"] if c["n"] or c["k"]]
+    peeled = {r["row"]: r["p"] for r in both.select("row", sketches.peel("cells", 2).alias("p")).collect()}
+    for row, a, b in rows:
+        p = peeled[row]
+        assert p["ok"] and {(x["k"], x["n"]) for x in p["found"]} == {(k, 1) for k in set(a) - set(b)} | {(k, -1) for k in set(b) - set(a)}
+        assert len(p["found"]) == len(set(a) ^ set(b))
+    left = pairs.selectExpr("row", "0 tag", "2L parts", "a", "b")
+    assert {r["row"]: r["d"] for r in sketches.larger(left).where("size(a) + size(b) = 0").collect()} == {1: 4, 2: 0, 3: 2}
+    assert "collect_list(i#" not in sketches.larger(left)._jdf.queryExecution().toString()  # digests aren't gathered for an interpreter
