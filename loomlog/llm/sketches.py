@@ -35,9 +35,10 @@ def digests(text: str) -> Column:
 
 
 def sketch(keys: str) -> Column:
-    """The sketch of an array of digests: 24 cells (c, n, k, h), table by table; c is the bit of the cell's number."""
-    one = "transform(array(filter({keys}, x -> {cell} = {c}L)), m -> named_struct('c', {bit}L, 'n', bigint(size(m)), 'k', aggregate(m, 0L, (s, x) -> s ^ x), 'h', aggregate(m, 0L, (s, x) -> s ^ xxhash64(x))))"
-    return F.expr("concat(" + ", ".join(one.format(keys=keys, c=c, bit=1 << c, cell=_CELLS[c // 8].format(k="x")) for c in range(24)) + ")")
+    """The sketch of an array of digests: 24 cells (c, n, k, h), table by table; c is the bit of the cell's number. A digest's
+    cell in a table is three of its bits."""
+    one = "transform(array(filter({keys}, x -> x & {mask}L = {own}L)), m -> named_struct('c', {bit}L, 'n', bigint(size(m)), 'k', aggregate(m, 0L, (s, x) -> s ^ x), 'h', aggregate(m, 0L, (s, x) -> s ^ xxhash64(x))))"
+    return F.expr("concat(" + ", ".join(one.format(keys=keys, c=c, bit=1 << c, mask=7 << 21 * (c // 8), own=c % 8 << 21 * (c // 8)) for c in range(24)) + ")")
 
 
 def sketches(keys: DataFrame, *by: str) -> DataFrame:
