@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .tokens import encoder, in_slices
+from .tokens import encoded, encoder, tidy
 
 _HEAD = struct.Struct("<4sIIIQ")
 _BLOCK = 8  # 64-bit words of a rank block
@@ -182,8 +182,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 1 <
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for a, b, texts in in_slices(batch.column(1)):
-                got, counts = enc.encode(texts)
+            for a, b, got, counts in encoded(enc, batch.column(1)):
                 at = 0
                 for name, n in zip(names[a:b], counts.tolist(), strict=True):
                     ids.append(got[at : at + n])
@@ -200,7 +199,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 1 <
     arrow = pa.schema([("task", pa.int32()), ("file", pa.int32()), ("first", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
     end = np.array([end_id], np.uint32)
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return staged(dealt.mapInArrow(encode, "task int, file int, first long, tokens long, doc_ids array<long>, payload binary"), "wavelet")
+    return staged(dealt.mapInArrow(tidy(encode), "task int, file int, first long, tokens long, doc_ids array<long>, payload binary"), "wavelet")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -219,7 +218,7 @@ def read(files: DataFrame) -> DataFrame:
                 )
 
     arrow = pa.schema([("task", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    out = files.select("task", "first", "doc_ids", "payload").mapInArrow(decode, "task int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    out = files.select("task", "first", "doc_ids", "payload").mapInArrow(tidy(decode), "task int, doc_id long, local long, n_tokens long, ids_crc32 long")
     # one row per task that wrote, a bound set by the number of partitions and not by the rows
     tasks = files.groupBy("task").agg(F.sum("tokens").alias("n"))
     before = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
